@@ -1,9 +1,10 @@
 """The queries of this subpackage, one for each operator, and their SQL where it can express them."""
 
-from loomtext.llm import winnowing
+from loomtext.llm import order_minhash, winnowing
 
 QUERIES = {
     "op9_winnowing": winnowing.op9_winnowing,
+    "op10_order_minhash": order_minhash.op10_order_minhash,
 }
 
 SQL = {
