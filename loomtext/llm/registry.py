@@ -1,8 +1,9 @@
 """The queries of this subpackage, one for each operator, and their SQL where it can express them."""
 
-from loomtext.llm import embedding_dedup, language_id, license_scan, mixing, order_minhash, packing, token_output, warc, winnowing
+from loomtext.llm import embedding_dedup, katz, language_id, license_scan, mixing, order_minhash, packing, token_output, warc, winnowing
 
 QUERIES = {
+    "op1_katz": katz.op1_katz,
     "op2_language_id": language_id.op2_language_id,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_katz": katz.SQL,
     "op4_embedding_dedup": embedding_dedup.SQL,
     "op7_warc": warc.SQL,
     "op9_winnowing": winnowing.SQL,
