@@ -11,7 +11,22 @@ import regex
 from loomtext.config import Tokens
 from loomtext.errors import FeatureDisabled
 
-_BREAK = regex.compile(r"(?V1)(?w)\b")
+
+
+def _word_pattern() -> regex.Pattern:
+    """Chains of letters, digits, katakana and connectors; each unit takes the marks and format characters behind it."""
+    of = lambda *names: "[" + "".join(rf"\p{{Word_Break={n}}}" for n in names) + "]"
+    marks = of("Extend", "Format", "ZWJ") + "*"
+    letter, hebrew, digit = of("ALetter", "Hebrew_Letter"), of("Hebrew_Letter"), of("Numeric")
+    in_letters, in_digits = of("MidLetter", "MidNumLet", "Single_Quote"), of("MidNum", "MidNumLet", "Single_Quote")
+    letters = f'(?:{letter}{marks}(?:{in_letters}{marks}(?={letter})|(?<={hebrew}{marks})(?:\'{marks}|"{marks}(?={hebrew})))?)'
+    digits = f"(?:{digit}{marks}(?:{in_digits}{marks}(?={digit}))?)"
+    run = f"(?:(?:{letters}|{digits})+|(?:{of('Katakana')}{marks})+)"
+    joint = f"(?:{of('ExtendNumLet')}{marks})"
+    return regex.compile(f"(?s){joint}*{run}(?:{joint}+{run})*{joint}*|.{marks}")
+
+
+_WORD = _word_pattern()
 _ALNUM = regex.compile(r"[\p{Alphabetic}\p{N}]")
 _CLUSTER = regex.compile(r"\X")
 #: The same rules where all is ASCII: letters join over . ' and :, digits over . ' , and ;
@@ -22,7 +37,7 @@ def words(text: str) -> list[str]:
     """Words that have a letter or a digit."""
     if text.isascii():
         return [w for w in _ASCII.findall(text) if w.strip("_")]
-    return [w for w in _BREAK.split(text) if w and _ALNUM.search(w)]
+    return [w for w in _WORD.findall(text) if _ALNUM.search(w)]
 
 
 def graphemes(text: str) -> list[str]:
