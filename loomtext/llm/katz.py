@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from loomtext.llm._text import U64, Words, blocks, flat, mix
 from loomtext.session import scratch_path, table, written
 
-ORDER, K, BUCKET_BYTES, FLUSH = 2, 5, 16 << 20, 2_000_000
+ORDER, K, BUCKET_BYTES, FLUSH = 2, 5, 8 << 20, 1_000_000
 _ODD = U64(0x9E3779B97F4A7C15)
 _ZSTD = pa.Codec("zstd", 1)
 _MAPPED = "part bigint, ord int, bucket int, data binary, docs array<struct<doc_id: bigint, n_words: int>>"
@@ -95,7 +95,7 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _contexts(word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _contexts(word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray | None]:
     """For the places n - 1 and on: the key of the context and of the next shorter one. A single word is its own key."""
 
     def of(k: int) -> np.ndarray:
@@ -106,8 +106,8 @@ def _contexts(word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         return mix(key + U64(k))
 
     if n == 1:
-        return mix(word), np.zeros(len(word), U64)
-    return of(n - 1), of(n - 2) if n > 2 else np.zeros(len(word) - (n - 1), U64)
+        return mix(word), None
+    return of(n - 1), of(n - 2) if n > 2 else None
 
 
 def _blocks(word: np.ndarray, doc: np.ndarray, place: np.ndarray, fold: np.ndarray, order: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -119,9 +119,9 @@ def _blocks(word: np.ndarray, doc: np.ndarray, place: np.ndarray, fold: np.ndarr
         at = np.flatnonzero(place[n - 1 :] >= n - 1)
         if not len(at):
             continue
-        key, shorter, w, d, p = key[at], shorter[at], word[n - 1 :][at], doc[n - 1 :][at], place[n - 1 :][at]
-        by = np.lexsort((w, key))  # stable: documents stay in order
-        key, shorter, w, d, p = key[by], shorter[by], w[by], d[by], p[by]
+        by = at[np.lexsort((word[n - 1 :][at], key[at]))]  # stable: documents stay in order
+        key, w, d, p = key[by], word[n - 1 :][by], doc[n - 1 :][by], place[n - 1 :][by]
+        shorter = None if shorter is None else shorter[by]
         entry = _runs(key, w)
         own = fold[d]
         c1 = np.add.reduceat(own, entry)
@@ -141,8 +141,8 @@ def _blocks(word: np.ndarray, doc: np.ndarray, place: np.ndarray, fold: np.ndarr
             own_key = key[entry[lo:hi]]
             head = _runs(own_key)
             yield n, int(b[lo]), pack(
-                own_key[head], shorter[entry[lo:hi]][head], np.diff(np.r_[head, hi - lo]), w[entry[lo:hi]], c0[lo:hi], c1[lo:hi],
-                posts[lo:hi], where[plo:phi] * 2 + fold[where[plo:phi]], times[plo:phi], np.array([len(fold)]),
+                own_key[head], np.zeros(len(head), U64) if shorter is None else shorter[entry[lo:hi]][head], np.diff(np.r_[head, hi - lo]), w[entry[lo:hi]], c0[lo:hi], c1[lo:hi],
+                posts[lo:hi], where[plo:phi].astype(np.int64) * 2 + fold[where[plo:phi]], times[plo:phi], np.array([len(fold)]),
             )
             lo, plo = hi, phi
 
@@ -162,7 +162,7 @@ def _mapped(docs: DataFrame, order: int, buckets: int) -> DataFrame:
             counts = np.concatenate([h[2] for h in held])
             fold = np.concatenate([h[4] for h in held])
             base = np.cumsum([0] + [len(h[2]) for h in held])
-            word, doc, place = (np.concatenate(x) for x in ([h[0] for h in held], [h[1] + b for h, b in zip(held, base)], [h[3] for h in held]))
+            word, doc, place = (np.concatenate(x) for x in ([h[0] for h in held], [h[1] + np.int32(b) for h, b in zip(held, base)], [h[3] for h in held]))
             ids = pa.concat_arrays([h[5] for h in held])
             held, size = [], 0
             rows = [(part, n, b, data, None) for n, b, data in _blocks(word, doc, place, fold, order, buckets)]
@@ -178,7 +178,7 @@ def _mapped(docs: DataFrame, order: int, buckets: int) -> DataFrame:
             folds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in blocks(off):
                 words = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                held.append((words.hash >> U64(16), words.doc, words.counts, words.index, folds[i:j], batch.column(0).slice(i, j - i)))
+                held.append((words.hash >> U64(16), words.doc.astype(np.int32), words.counts, words.index.astype(np.int32), folds[i:j], batch.column(0).slice(i, j - i)))
                 size += len(words.hash)
                 if size >= FLUSH:
                     yield from flush()
