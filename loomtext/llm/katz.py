@@ -16,8 +16,9 @@ Storage: one Parquet table, bucketed by a hash of the context, has for each orde
 counts of both folds, and the places in documents that are to be scored there. It is made in one shuffle
 of packed blocks already summed by map task. Scoring is one pass of that table for each order, lowest first: a bucket
 meets the probabilities it asked of the next shorter order (each word once) and answers those asked of it, or adds up its part of
-each document's score. The blocks of the table do not move again. Buckets grow in number with the text, not in size, except
-that a single context is never split.
+each document's score. The blocks of the table do not move again. Buckets grow in number with the text, not in size:
+contexts too frequent for a bucket are found beforehand and cut into slices by the word that follows; what their slices count is
+added up before it is used.
 
 Defined results: a null, empty or wordless text has n_words 0 and scores null. Rows that repeat an id are
 scored each; a null id belongs to fold 0 and is reported as null. If a fold has no words, everything scored by it is one
@@ -110,12 +111,80 @@ def _contexts(word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray | None]:
     return of(n - 1), of(n - 2) if n > 2 else None
 
 
-def _blocks(word: np.ndarray, doc: np.ndarray, place: np.ndarray, fold: np.ndarray, order: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+class Hot:
+    """Contexts that are cut into slices: by order, their keys (sorted) and numbers of slices. About two for each bucket at most."""
+
+    def __init__(self, found: dict[int, list[tuple[int, int]]]):
+        self.of = {n: tuple(np.array(x, np.uint64) for x in zip(*sorted(rows))) for n, rows in found.items() if rows}
+
+    def sliced(self, n: int, key: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Keys with those of hot contexts replaced by their slices'."""
+        if n not in self.of or not len(key):
+            return key
+        keys, slices = self.of[n]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == key)
+        if len(hit):
+            key = key.copy()
+            key[hit] = _slice(key[hit], word[hit] % slices[at[hit]])
+        return key
+
+    def table(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all slices, sorted, and the number of the context each belongs to."""
+        keys, slices = self.of[n]
+        context = np.repeat(np.arange(len(keys)), slices.astype(np.int64))
+        own = _slice(keys[context], (np.arange(len(context)) - np.repeat(np.cumsum(slices.astype(np.int64)) - slices.astype(np.int64), slices.astype(np.int64))).astype(U64))
+        by = np.argsort(own)
+        return own[by], context[by]
+
+
+def _slice(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return mix(key + (part + U64(1)) * _ODD)
+
+
+def frequent(source: DataFrame, order: int, buckets: int) -> Hot:
+    """Contexts with over half a bucket's share of an order's places.
+
+    Each task hands on the contexts that are frequent among its own words, so what is summed is small; a context that is only
+    frequent overall may be missed, which costs balance and never correctness.
+    """
+    if buckets == 1 or order == 1:
+        return Hot({})
+    schema = pa.schema([("ord", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = flat(batch.column(0))
+            for i, j in blocks(off, 1_000_000):
+                words = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                word, place = words.hash >> U64(16), words.index
+                for n in range(2, order + 1):
+                    if len(word) < n:
+                        continue
+                    key = _contexts(word, n)[0][place[n - 1 :] >= n - 1]
+                    value, count = np.unique(key, return_counts=True)
+                    often = count > len(key) / (4 * buckets)
+                    rows = int(often.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * (rows + 1), pa.int32()), pa.array(np.r_[value[often].view(np.int64), 0], mask=np.r_[np.zeros(rows, bool), True]), pa.array(np.r_[count[often], len(key)])], schema=schema)
+
+    each = source.select("text").mapInArrow(run, "ord int, key bigint, n bigint").groupBy("ord", "key").agg(F.sum("n").alias("n"))
+    each = written(each, "frequent")
+    totals = {r["ord"]: r["n"] for r in each.filter("key IS NULL").collect()}
+    found: dict[int, list[tuple[int, int]]] = {}
+    for n, total in totals.items():
+        share = total / buckets
+        rows = each.filter((F.col("ord") == n) & F.col("key").isNotNull() & (F.col("n") > share / 2)).collect()
+        found[n] = [(r["key"] % (1 << 64), int(np.ceil(4 * r["n"] / share))) for r in rows]
+    return Hot(found)
+
+
+def _blocks(word: np.ndarray, doc: np.ndarray, place: np.ndarray, fold: np.ndarray, order: int, buckets: int, hot: Hot) -> Iterator[tuple[int, int, bytes]]:
     """Order, bucket and packed counts of some documents."""
     for n in range(1, order + 1):
         if len(word) < n:
             return
         key, shorter = _contexts(word, n)
+        key = hot.sliced(n, key, word[n - 1 :])
         at = np.flatnonzero(place[n - 1 :] >= n - 1)
         if not len(at):
             continue
@@ -147,7 +216,7 @@ def _blocks(word: np.ndarray, doc: np.ndarray, place: np.ndarray, fold: np.ndarr
             lo, plo = hi, phi
 
 
-def _mapped(docs: DataFrame, order: int, buckets: int) -> DataFrame:
+def _mapped(docs: DataFrame, order: int, buckets: int, hot: Hot) -> DataFrame:
     schema = pa.schema([("part", pa.int64()), ("ord", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_words", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +234,7 @@ def _mapped(docs: DataFrame, order: int, buckets: int) -> DataFrame:
             word, doc, place = (np.concatenate(x) for x in ([h[0] for h in held], [h[1] + np.int32(b) for h, b in zip(held, base)], [h[3] for h in held]))
             ids = pa.concat_arrays([h[5] for h in held])
             held, size = [], 0
-            rows = [(part, n, b, data, None) for n, b, data in _blocks(word, doc, place, fold, order, buckets)]
+            rows = [(part, n, b, data, None) for n, b, data in _blocks(word, doc, place, fold, order, buckets, hot)]
             listed = pa.StructArray.from_arrays([ids, pa.array(counts.astype(np.int32))], ["doc_id", "n_words"])
             own = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([0], pa.int32()), pa.array([int(mix(np.array([part], U64))[0] % U64(buckets))], pa.int32()), pa.nulls(1, pa.binary()), own], schema=schema)
@@ -176,7 +245,7 @@ def _mapped(docs: DataFrame, order: int, buckets: int) -> DataFrame:
         for batch in batches:
             raw, off = flat(batch.column(2))
             folds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in blocks(off):
+            for i, j in blocks(off, 1_000_000):
                 words = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 held.append((words.hash >> U64(16), words.doc.astype(np.int32), words.counts, words.index.astype(np.int32), folds[i:j], batch.column(0).slice(i, j - i)))
                 size += len(words.hash)
@@ -213,13 +282,14 @@ def _merge(parts: list[int], datas: list[bytes]) -> bytes:
     return pack(key[head], shorter[head], np.diff(np.r_[head, len(key)]), w, c0, c1, posts, where, times, np.array(sizes))
 
 
-def count(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """The bucketed table of both folds, and its number of buckets."""
+def count(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int, Hot]:
+    """The bucketed table of both folds, its number of buckets, and the contexts that are cut into slices."""
     spark = docs.sparkSession
     fold = F.coalesce(F.expr("pmod(shiftright(pmod(doc_id, 2147483648L) * 40503L, 12), 2L)"), F.lit(0)).cast("int")
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).select("doc_id", fold.alias("fold"), "text")
     total = source.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     buckets = int(min(-(-total // bucket_bytes) or 1, 100_000))
+    hot = frequent(source, order, buckets)
     schema = pa.schema([("ord", pa.int32()), ("bucket", pa.int32()), ("parts", pa.list_(pa.int64())), ("data", pa.binary()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_words", pa.int32())])))])
 
     def merged(key: tuple, rows: pa.Table) -> pa.Table:
@@ -231,10 +301,10 @@ def count(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES)
         return pa.table([pa.array([n], pa.int32()), pa.array([bucket], pa.int32()), pa.array([parts], pa.list_(pa.int64())), pa.array([_merge(parts, rows["data"].to_pylist())], pa.binary()), pa.nulls(1, schema[4].type)], schema=schema)
 
     kind = "ord int, bucket int, parts array<bigint>, data binary, docs array<struct<doc_id: bigint, n_words: int>>"
-    rows = _mapped(source, order, buckets).groupBy("ord", "bucket").applyInArrow(merged, kind)
+    rows = _mapped(source, order, buckets, hot).groupBy("ord", "bucket").applyInArrow(merged, kind)
     name = f"loomtext_katz_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets, "bucket").sortBy("bucket").format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "katz")).saveAsTable(name)
-    return spark.table(name), buckets
+    return spark.table(name), buckets, hot
 
 
 def discounts(n: list[int], k: int = K) -> list[float]:
@@ -270,9 +340,9 @@ def statistics(counts: DataFrame, order: int, k: int = K) -> list[list[tuple[np.
     return out
 
 
-def _asked(n: int, key: np.ndarray, shorter: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _asked(n: int, shorter: np.ndarray, w: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What a block of order n asks of order n - 1: keys and words, sorted, and where each entry's answer stands."""
-    lower = mix(w) if n == 2 else shorter
+    lower = mix(w) if n == 2 else hot.sliced(n - 1, shorter, w)
     by = np.lexsort((w, lower))
     entry = _runs(lower[by], w[by])
     back = np.empty(len(w), np.int64)
@@ -280,12 +350,12 @@ def _asked(n: int, key: np.ndarray, shorter: np.ndarray, w: np.ndarray) -> tuple
     return lower[by][entry], w[by][entry], back
 
 
-def _requests(counts: DataFrame, n: int, buckets: int) -> DataFrame:
+def _requests(counts: DataFrame, n: int, buckets: int, hot: Hot) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 head, shorter, run_, w = unpack(data)[:4]
-                lower, word, _ = _asked(n, np.repeat(head, run_), np.repeat(shorter, run_), w)
+                lower, word, _ = _asked(n, np.repeat(shorter, run_), w, hot)
                 b = _bucket_of(lower, buckets)
                 cut = np.r_[0, np.flatnonzero(np.diff(b)) + 1, len(b)]
                 own = [(int(b[i]), bucket, pack(lower[i:j] if n > 2 else lower[:0], word[i:j])) for i, j in zip(cut, cut[1:]) if j > i]
@@ -294,12 +364,29 @@ def _requests(counts: DataFrame, n: int, buckets: int) -> DataFrame:
     return counts.filter(F.col("ord") == n).select("bucket", "data").mapInArrow(run, "bucket int, other int, data binary").withColumn("kind", F.lit(1))
 
 
-def _block_probabilities(n: int, block: list[np.ndarray], lower: np.ndarray | None, stats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sums(n: int, block: list[np.ndarray], lower: np.ndarray, stats) -> np.ndarray:
+    """By fold and context of a block: what follows it in all, after discounts, and its mass by the next shorter order."""
+    head, _, run, _, c0, c1 = block[:6]
+    out = np.empty((2, 3, len(head)))
+    first = np.cumsum(run) - run
+    for f, c in enumerate((c0, c1)):
+        d = stats[f][0]
+        for k, x in enumerate((c, d[np.minimum(c, len(d) - 1)] * c, np.where(c > 0, lower[f], 0.0))):
+            out[f, k] = np.add.reduceat(x, first)
+    return out
+
+
+def _block_probabilities(n: int, block: list[np.ndarray], lower: np.ndarray | None, stats, whole: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: keys and words by entry, P (fold, entry), and by context alpha (fold)."""
     head, _, run, w, c0, c1 = block[:6]
     p = np.empty((2, len(w)))
     alpha = np.ones((2, len(head)))
-    first = np.cumsum(run) - run
+    sums = None if n == 1 else _sums(n, block, lower, stats)
+    if whole is not None:  # slices take the sums of their contexts
+        slices, context, values = whole
+        at = np.minimum(np.searchsorted(slices, head), len(slices) - 1)
+        hit = np.flatnonzero(slices[at] == head)
+        sums[:, :, hit] = values[:, :, context[at[hit]]]
     for f, c in enumerate((c0, c1)):
         d, total, mass = stats[f]
         seen = c > 0
@@ -310,12 +397,11 @@ def _block_probabilities(n: int, block: list[np.ndarray], lower: np.ndarray | No
                 p[f] = np.where(seen, c / (total + 1), 0)
             continue
         low = lower[f]
-        all_, left = np.add.reduceat(c, first), np.add.reduceat(kept, first)
+        all_, left, taken = sums[f]
         full = left > all_ * (1 - 1e-12)
         bottom = np.where(full, all_ + 1, all_).astype(float)
         left = np.where(full, all_, left)
         known = all_ > 0
-        taken = np.add.reduceat(np.where(seen, low, 0.0), first)
         alpha[f][known] = (1 - left[known] / bottom[known]) / np.maximum(1 - taken[known], 1e-300)
         p[f] = np.where(seen, np.where(np.repeat(full, run), c, kept) / np.maximum(np.repeat(bottom, run), 1), np.repeat(alpha[f], run) * low)
     return np.repeat(head, run), w, p, alpha
@@ -326,10 +412,44 @@ def _unknown(stats) -> list[float]:
     return [1.0 if not total else 1 / (total + 1) if mass > total * (1 - 1e-12) else 1 - mass / total for _, total, mass in stats]
 
 
-def _level(counts: DataFrame, right: DataFrame, n: int, stats) -> DataFrame:
+def _heard(n: int, block: list[np.ndarray], right: pa.Table, hot: Hot) -> np.ndarray:
+    """By fold and entry of a block, the probabilities it asked for."""
+    rows = sorted((o, d) for k, o, d in zip(right["kind"].to_pylist(), right["other"].to_pylist(), right["data"].to_pylist()) if k == 2)
+    answers = [unpack(d) for _, d in rows]
+    back = _asked(n, np.repeat(block[1], block[2]), block[3], hot)[2]
+    return np.array([np.concatenate([a[f] for a in answers])[back] for f in (0, 1)])
+
+
+def _whole(counts: DataFrame, right: DataFrame, n: int, stats, hot: Hot) -> tuple | None:
+    """Sums of the hot contexts of an order over all their slices; a few rows for each of them."""
+    if n not in hot.of:
+        return None
+    slices, context = hot.table(n)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows:
+            block = unpack(left["data"][0].as_py())
+            at = np.minimum(np.searchsorted(slices, block[0]), len(slices) - 1)
+            hit = np.flatnonzero(slices[at] == block[0])
+            if len(hit):
+                sums = _sums(n, block, _heard(n, block, right, hot), stats)
+                rows = [(int(c), *(float(x) for x in sums[:, :, h].ravel())) for h, c in zip(hit, context[at[hit]])]
+        return pa.table([pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.float64()) for i in range(7)], names=["context", *(f"s{i}" for i in range(6))])
+
+    left = counts.filter(F.col("ord") == n).select("bucket", "data")
+    each = left.groupBy("bucket").cogroup(right.filter("kind = 2").groupBy("bucket")).applyInArrow(run, "context bigint, " + ", ".join(f"s{i} double" for i in range(6)))
+    values = np.zeros((2, 3, len(hot.of[n][0])))
+    for r in each.groupBy("context").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(6)]).collect():
+        values[:, :, r["context"]] = np.array(r[1:]).reshape(2, 3)
+    return slices, context, values
+
+
+def _level(counts: DataFrame, right: DataFrame, n: int, stats, hot: Hot) -> DataFrame:
     """kind 2: answers to what was asked of order n (by asking bucket); kind 3: each part's share of its documents' scores."""
     out_schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("other", pa.int32()), ("data", pa.binary())])
     missing = _unknown(stats[1])
+    whole = _whole(counts, right, n, stats[n], hot) if n > 1 else None
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -338,12 +458,9 @@ def _level(counts: DataFrame, right: DataFrame, n: int, stats) -> DataFrame:
         lower = None
         bucket = key[0].as_py()
         if block is not None and n > 1:
-            heard = sorted((o, d) for k, o, d in zip(right["kind"].to_pylist(), right["other"].to_pylist(), right["data"].to_pylist()) if k == 2)
-            answers = [unpack(d) for _, d in heard]
-            back = _asked(n, np.repeat(block[0], block[2]), np.repeat(block[1], block[2]), block[3])[2]
-            lower = np.array([np.concatenate([a[f] for a in answers])[back] for f in (0, 1)])
+            lower = _heard(n, block, right, hot)
         if block is not None:
-            keys, words, p, _ = _block_probabilities(n, block, lower, stats[n])
+            keys, words, p, _ = _block_probabilities(n, block, lower, stats[n], whole)
             if n == 1:
                 p = np.where(p > 0, p, np.array(missing)[:, None])
             posts, where, times, sizes = block[6:10]
@@ -377,14 +494,14 @@ def score(docs: DataFrame, order: int = ORDER, k: int = K, bucket_bytes: int = B
     """doc_id, n_words, logprob (natural) and its mean by word, for every document."""
     if order < 1:
         raise ValueError("the order is at least 1")
-    counts, buckets = count(docs, order, bucket_bytes)
+    counts, buckets, hot = count(docs, order, bucket_bytes)
     stats = statistics(counts, order, k)
     spark = docs.sparkSession
     nothing = spark.createDataFrame([], "bucket int, other int, data binary, kind int")
     heard, shares = nothing, None
     for n in range(1, order + 1):
-        asked = _requests(counts, n + 1, buckets) if n < order else nothing
-        out = written(_level(counts, heard.unionByName(asked), n, stats), "level")
+        asked = _requests(counts, n + 1, buckets, hot) if n < order else nothing
+        out = written(_level(counts, heard.unionByName(asked), n, stats, hot), "level")
         heard = out.filter("kind = 2").select(F.col("bucket").cast("int"), "other", "data", "kind")
         own = out.filter("kind = 3").select(F.col("bucket").alias("part"), "data")
         shares = own if shares is None else shares.unionByName(own)

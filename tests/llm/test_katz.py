@@ -85,6 +85,19 @@ def test_against_brute_force(spark, order, monkeypatch):
         assert sum(models[0].p(w, h) for w in vocabulary) + models[0].p("unheard of", h) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_contexts_in_slices_change_nothing(spark, order, monkeypatch):
+    monkeypatch.setattr(z, "FLUSH", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(2)
+    hot = z.frequent(docs, order, 100)
+    assert all(len(hot.of[n][0]) > 3 and (hot.of[n][1] > 1).all() and len(np.unique(hot.table(n)[0])) == len(hot.table(n)[0]) for n in range(2, order + 1) if n in hot.of) and 2 in hot.of
+    many = {r.doc_id: (r.n_words, r.logprob) for r in z.score(docs, order, bucket_bytes=6000).collect()}
+    one = {r.doc_id: (r.n_words, r.logprob) for r in z.score(docs, order, bucket_bytes=1 << 30).collect()}
+    assert set(many) == set(one)
+    for i, (n, p) in one.items():
+        assert many[i][0] == n and (many[i][1] or 0) == pytest.approx(p or 0, rel=1e-9)
+
+
 def test_hard_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "?!", "x"), (None, "one two one two", "x"), (4, "one two three", "y"), (4, "one two three", "y"), (5, "one", "z"), (6, "two two " * 20_000, "z")]
     got = [tuple(r) for r in z.score(spark.createDataFrame(rows, "doc_id long, text string, bucket string")).collect()]
