@@ -103,8 +103,11 @@ def _contexts(word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray | None]:
         m = len(word) - (n - 1)
         key = np.zeros(m, U64)
         for j in range(n - 1 - k, n - 1):
-            key = key * _ODD + word[j : j + m] + U64(1)
-        return mix(key + U64(k))
+            key *= _ODD
+            key += word[j : j + m]
+            key += U64(1)
+        key += U64(k)
+        return mix(key)
 
     if n == 1:
         return mix(word), None
@@ -185,23 +188,28 @@ def _blocks(word: np.ndarray, doc: np.ndarray, place: np.ndarray, fold: np.ndarr
             return
         key, shorter = _contexts(word, n)
         key = hot.sliced(n, key, word[n - 1 :])
-        at = np.flatnonzero(place[n - 1 :] >= n - 1)
-        if not len(at):
+        by = np.lexsort((word[n - 1 :], key)).astype(np.int32)  # stable: documents stay in order
+        by = by[place[n - 1 :][by] >= n - 1]
+        if not len(by):
             continue
-        by = at[np.lexsort((word[n - 1 :][at], key[at]))]  # stable: documents stay in order
-        key, w, d, p = key[by], word[n - 1 :][by], doc[n - 1 :][by], place[n - 1 :][by]
+        key, w, d = key[by], word[n - 1 :][by], doc[n - 1 :][by]
         shorter = None if shorter is None else shorter[by]
         entry = _runs(key, w)
-        own = fold[d]
-        c1 = np.add.reduceat(own, entry)
-        c0 = np.diff(np.r_[entry, len(w)]) - c1
+        size = np.diff(np.r_[entry, len(w)]).astype(np.int32)
+        c1 = np.add.reduceat(fold[d], entry, dtype=np.int32)
+        c0 = size - c1
         # places to score, each document once an entry
-        scored = np.flatnonzero((p == n - 1) | (n == order))
-        of_entry = (np.searchsorted(entry, scored, "right") - 1) if len(scored) < len(w) else np.repeat(np.arange(len(entry)), np.diff(np.r_[entry, len(w)]))
-        first = _runs(of_entry, d[scored])
-        times = np.diff(np.r_[first, len(scored)])
-        where, post = d[scored][first], of_entry[first]
-        posts = np.bincount(post, minlength=len(entry))
+        of_entry = np.repeat(np.arange(len(entry), dtype=np.int32), size)
+        where = d
+        if n < order:
+            scored = np.flatnonzero(place[n - 1 :][by] == n - 1)
+            of_entry, where = of_entry[scored], d[scored]
+        del by, d, size
+        first = _runs(of_entry, where)
+        times = np.diff(np.r_[first, len(where)]).astype(np.int32)
+        where = where[first]
+        posts = np.bincount(of_entry[first], minlength=len(entry)).astype(np.int32)
+        del of_entry, first
         b = _bucket_of(key[entry], buckets)
         ends = np.flatnonzero(np.diff(np.r_[b, -1]))
         lo, plo = 0, 0
@@ -229,7 +237,7 @@ def _mapped(docs: DataFrame, order: int, buckets: int, hot: Hot) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size, part
             counts = np.concatenate([h[2] for h in held])
-            fold = np.concatenate([h[4] for h in held])
+            fold = np.concatenate([h[4] for h in held]).astype(np.int8)
             base = np.cumsum([0] + [len(h[2]) for h in held])
             word, doc, place = (np.concatenate(x) for x in ([h[0] for h in held], [h[1] + np.int32(b) for h, b in zip(held, base)], [h[3] for h in held]))
             ids = pa.concat_arrays([h[5] for h in held])
