@@ -9,8 +9,9 @@ similarity, not mere overlap.
 Equal word sequences are folded into their smallest id first, so that a passage copied a million times
 is one node. Within a bucket of the others every member is aligned with the bucket's leader (the
 smallest id under a hash that differs by band); those that fail are led by one of themselves in the next
-round, and after ROUNDS rounds whatever is left is compared pair by pair. So nothing is capped, and a
-bucket of n copies costs n alignments. Accepted pairs have 1 - distance / longer length >= SIMILARITY,
+round. After ROUNDS rounds the pairs of each bucket that are not connected yet, passed or failed, are
+compared one by one. So nothing is capped, and a bucket of n copies near to their leader costs n alignments.
+Accepted pairs have 1 - distance / longer length >= SIMILARITY,
 the distance counting inserted, deleted and replaced words. Groups are the connected components.
 
 Defined results: a null or wordless text and a null id belong to no group. With fewer than K words the
@@ -176,6 +177,11 @@ def allowed(longer: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * longer + 1e-9)
 
 
+def _foreign(a: list, b: list) -> int:
+    """How many elements of ``a`` are nowhere in ``b``: none of these goes without an edit."""
+    return len(a) - sum(map(set(b).__contains__, a))
+
+
 def _word_lists(docs: DataFrame) -> DataFrame:
     """id and the word sequence as 32-bit hashes."""
     schema = pa.schema([("id", pa.int64()), ("words", pa.binary())])
@@ -203,6 +209,10 @@ def _aligned(pairs: DataFrame, words: DataFrame) -> DataFrame:
                 u, v = (np.frombuffer(z.as_buffer(), np.uint32).tolist() for z in (x, y))
                 longer = max(len(u), len(v), 1)
                 most = allowed(longer)
+                if _foreign(u, v) > most or _foreign(v, u) > most:
+                    near.append(False)
+                    score.append(None)
+                    continue
                 d = banded_distance(u, v, most)
                 near.append(d <= most)
                 score.append(1 - d / longer if d <= most else None)
@@ -231,29 +241,42 @@ def components(edges: DataFrame) -> DataFrame:
         stamp = now
 
 
+def _apart(members: DataFrame, edges: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket that ``edges`` don't connect and whose lengths allow them to be near."""
+    roots = components(edges).select(F.col("node").alias("id"), "root")
+    lengths = words.select("id", (F.length("words") / 4).cast("int").alias("n"))
+    known = members.join(roots, "id", "left").join(lengths, "id").select("band", "key", "id", "n", F.coalesce("root", "id").alias("root"))
+    bucket = W.partitionBy("band", "key")
+    known = known.withColumn("size", F.count("*").over(W.partitionBy("band", "key", "root"))).withColumn("main", F.max(F.struct("size", "root")).over(bucket)["root"])
+    known = written(known.withColumn("split", F.min("root").over(bucket) != F.max("root").over(bucket)).filter("split").drop("split", "size"), "known")
+    # the largest component of a bucket meets the others, never itself
+    x, y = known.filter("root != main").alias("x"), known.alias("y")
+    longer = F.greatest("x.n", "y.n")
+    near = F.abs(F.col("x.n") - F.col("y.n")) <= F.floor((1 - SIMILARITY) * longer + 1e-9)
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & F.expr("x.root != y.root AND (y.root = y.main OR x.id > y.id)") & near
+    return x.join(y, on).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
 def _edges(members: DataFrame, words: DataFrame) -> DataFrame | None:
     """Verified pairs of the buckets; see the module's text."""
     bucket = W.partitionBy("band", "key")
-    found = None
-    for step in range(ROUNDS + 1):
-        if step < ROUNDS:
-            led = members.withColumn("leader", F.min(F.struct(F.xxhash64("id", "band"), "id")).over(bucket)["id"]).filter("id != leader")
-        else:
-            other = members.select("band", "key", F.col("id").alias("leader"))
-            led = members.join(other, ["band", "key"]).filter("id > leader")
-        led = led.withColumns({"a": F.greatest("id", "leader"), "b": F.least("id", "leader")})
-        led = written(led, "led") if step < ROUNDS else led
+    every, found, tried = members, None, None
+    for _ in range(ROUNDS):
+        led = members.withColumn("leader", F.min(F.struct(F.xxhash64("id", "band"), "id")).over(bucket)["id"]).filter("id != leader")
+        led = written(led.withColumns({"a": F.greatest("id", "leader"), "b": F.least("id", "leader")}), "led")
         seen = written(_aligned(led.select("a", "b").distinct(), words), "aligned")
-        good = seen.filter("near").select("a", "b", "similarity")
+        good, far = seen.filter("near").select("a", "b", "similarity"), seen.filter("NOT near").select("a", "b")
         found = good if found is None else found.union(good)
-        if step == ROUNDS:
-            break
-        failed = led.join(seen.filter("NOT near").select("a", "b"), ["a", "b"], "left_semi").select("band", "key", "id")
-        failed = failed.withColumn("size", F.count("*").over(bucket)).filter("size > 1").drop("size")
-        members = written(failed, "members")
+        tried = far if tried is None else tried.union(far)
+        failed = led.join(far, ["a", "b"], "left_semi").select("band", "key", "id")
+        if failed.isEmpty():
+            return found
+        members = written(failed.withColumn("size", F.count("*").over(bucket)).filter("size > 1").drop("size"), "members")
         if members.isEmpty():
             break
-    return found
+    rest = _apart(every, found, words).join(tried, ["a", "b"], "left_anti")
+    last = written(_aligned(rest, words), "aligned")
+    return found.union(last.filter("near").select("a", "b", "similarity"))
 
 
 def groups(docs: DataFrame) -> DataFrame:

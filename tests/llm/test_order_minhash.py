@@ -117,3 +117,22 @@ def test_a_bucket_whose_leader_is_unlike_the_rest(spark):
     members = spark.createDataFrame([(0, 7, i) for i in range(1, 6)], "band int, key long, id long")
     found = {(r.a, r.b) for r in o._edges(members, o._word_lists(docs)).collect()}
     assert found == {(3, 2), (4, 1)}
+
+
+def test_copies_that_are_near_only_to_their_original(spark):
+    """Members that passed against a leader still meet those that failed."""
+    rng = random.Random(8)
+    original = [f"w{i}" for i in range(100)]
+    texts = [original]
+    for i in range(12):  # 0.75 to the original, below 0.7 to each other
+        copy = list(original)
+        for p in rng.sample(range(100), 25):
+            copy[p] = f"x{i}y{p}"
+        texts.append(copy)
+    far = [(i, j) for i in range(1, 13) for j in range(1, i) if plain(texts[i], texts[j]) > 30]
+    assert len(far) == 66
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    for key in range(3):  # one bucket under several bands, so with several leaders
+        members = spark.createDataFrame([(key, 7, i) for i in range(13)], "band int, key long, id long")
+        found = {(r.a, r.b) for r in o._edges(members, o._word_lists(docs)).collect()}
+        assert found == {(i, 0) for i in range(1, 13)}
