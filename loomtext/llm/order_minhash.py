@@ -34,7 +34,8 @@ from loomtext.llm._fit import small
 from loomtext.llm._text import U64, Words, blocks, flat, mix, signed
 from loomtext.session import table, written
 
-K, PICK, BANDS, SIMILARITY, ROUNDS = 3, 2, 16, 0.7, 3
+#: Runs of two words and 32 bands: a pair at just SIMILARITY with scattered replacements shares a bucket with chance 1 - (1 - (0.49 / 1.51)^2)^32 = 0.97.
+K, PICK, BANDS, SIMILARITY, ROUNDS = 2, 2, 32, 0.7, 3
 
 _SKETCH = T.StructType([T.StructField("id", T.LongType()), T.StructField("whole", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 

@@ -136,3 +136,19 @@ def test_copies_that_are_near_only_to_their_original(spark):
         members = spark.createDataFrame([(key, 7, i) for i in range(13)], "band int, key long, id long")
         found = {(r.a, r.b) for r in o._edges(members, o._word_lists(docs)).collect()}
         assert found == {(i, 0) for i in range(1, 13)}
+
+
+def test_recall_of_candidates_by_similarity():
+    """Pairs with edits scattered over the whole text share a bucket, at every level down to the threshold."""
+    rng = random.Random(4)
+    for similarity in (0.7, 0.75, 0.8, 0.85):
+        for kind in ("replaced", "left out"):
+            texts = []
+            for _ in range(150):
+                a = [f"w{rng.randrange(5000)}" for _ in range(300)]
+                gone = set(rng.sample(range(300), round(300 * (1 - similarity))))
+                b = [f"x{p}y{rng.randrange(5000)}" if p in gone else w for p, w in enumerate(a) if kind == "replaced" or p not in gone]
+                texts += [" ".join(a), " ".join(b)]
+            rows, keys = o.sketch(Words(*flat(pa.array(texts))))
+            assert len(rows) == 300
+            assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.9, (similarity, kind)
