@@ -2,10 +2,11 @@
 
 Templates are the words of known notices. Every run of K words of every document is hashed and joined
 with the template positions that have the same hash; each hit votes for a diagonal (place in the document
-minus place in the template). Votes are counted by document, template and diagonal, neighbouring
-diagonals (a word inserted or left out shifts them by one) that lie close in the document are merged
-into one span, and the span is verified: the words of the document there are aligned with the template,
-and at least COVER of the template's words must be met in order with at most as many foreign words between.
+minus place in the template). A notice with at least COVER of the template's words in order and at most
+as many foreign words between as it may miss (and one) has its votes within a known range of diagonals, and a least number of
+them, as a missing word breaks K runs and a foreign one K - 1; with K = 2 at least one is left for any
+template. Where a range has that many, every place at which the notice can begin is aligned with the template, and the best
+spans that do not overlap are reported.
 
 Defined results: a null, empty or wordless text has no row. Repeated rows and repeated ids are one
 document each row but share their id in the result; equal result rows stand once. A null id is reported as null.
@@ -14,6 +15,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from loomtext.llm._fit import small
 from loomtext.llm._text import Words, blocks, flat, signed
 from loomtext.session import table, written
 
-K, DRIFT, COVER = 3, 2, 0.8
+K, COVER = 2, 0.8
 
 TEMPLATES = {
     "notice-apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -110,6 +112,44 @@ def aligned(words: list, template: list) -> tuple[int, int, int]:
     return matched, first, last
 
 
+def _limits(n: int, k: int, cover: float) -> tuple[int, int, int, int]:
+    """Of a template of n words: most missing words, most foreign words, how far apart a notice's diagonals are, least votes."""
+    missing, foreign = n - math.ceil(cover * n - 1e-9), int(n * (1 - cover) + 1 + 1e-9)
+    # a missing word breaks k runs, a foreign one k - 1
+    return missing, foreign, missing + foreign, max(1, n - k + 1 - k * missing - (k - 1) * foreign)
+
+
+def notices(words: list, template: list, starts: set[int], cover: float) -> list[tuple[int, int, int, int]]:
+    """For each of ``starts`` at which a notice can begin, the best one: score (less is better), first and last place, words met."""
+    n = len(template)
+    missing, foreign, _, _ = _limits(n, 1, cover)
+    least = n - missing
+    where: dict = {}
+    for j, x in enumerate(template):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << n) - 1
+    heads = set(template[: missing + 1])
+    known = np.cumsum([0] + [x in where for x in words])
+    out = []
+    for i in sorted(starts):
+        end = min(len(words), i + n + foreign)
+        if words[i] not in heads or known[end] - known[i] < least:
+            continue
+        row, best = full, None
+        for j in range(i, end):
+            hit = row & where.get(words[j], 0)
+            if not hit:
+                continue
+            row = ((row + hit) | (row - hit)) & full
+            matched = n - row.bit_count()
+            strange = j - i + 1 - matched
+            if matched >= least and strange <= matched * (1 - cover) + 1 + 1e-9:
+                best = min(best or (n, 0, 0, 0), (n - 2 * matched + strange, i, j, matched))
+        if best:
+            out.append(best)
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, cover: float = COVER) -> DataFrame:
     """Verified notices: document, template, first and last word of the span, template words met and in all."""
     spark = docs.sparkSession
@@ -120,26 +160,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, c
     source = source.withColumn("row_id", F.xxhash64("text"))
     grams = _grams(source.select("doc_id", "row_id", "text"), k)
     hits = grams.select("doc_id", "row_id", F.posexplode("grams").alias("place", "gram")).join(small(places), "gram")
-    votes = hits.groupBy("doc_id", "row_id", "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(
-        F.array_sort(F.collect_set("place")).alias("places")
-    )
-    sizes = [len(_words(t).hash) for t in templates.values()]
-    spark_sizes = F.array(*[F.lit(n) for n in sizes])
-    order = W.partitionBy("doc_id", "row_id", "template").orderBy("diagonal")
-    size = F.element_at(spark_sizes, F.col("template") + 1)
-    spans = votes.select("doc_id", "row_id", "template", "diagonal", F.size("places").alias("votes"), size.alias("size"))
-    spans = spans.withColumn("new", (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(order), F.col("diagonal") - 2 * DRIFT) > DRIFT).cast("int"))
-    spans = spans.withColumn("span", F.sum("new").over(order))
-    merged = spans.groupBy("doc_id", "row_id", "template", "span", "size").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("top"), F.max("diagonal").alias("bottom"))
-    # every run met in order would vote once; a span needs enough votes that COVER of its words can be met
-    need = F.greatest(F.lit(1), F.ceil(F.col("size") * cover) - k * (F.floor(F.col("size") * (1 - cover)) + 1) + 1)
-    merged = written(merged.filter(F.col("votes") >= need), "spans")
-    return _verified(source, merged, templates, cover)
-
-
-def _verified(source: DataFrame, spans: DataFrame, templates: dict[str, str], cover: float) -> DataFrame:
+    votes = hits.groupBy("doc_id", "row_id", "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"))
+    limits = [_limits(len(_words(t).hash), k, cover) for t in templates.values()]
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("template") + 1)
+    # the diagonals of one notice lie within ``drift``: by a step of half a place more, they are a range of 1
+    near = W.partitionBy("doc_id", "row_id", "template").orderBy(F.col("diagonal") / (of([drift for *_, drift, _ in limits]) + 0.5)).rangeBetween(0, 1)
+    spans = votes.withColumn("around", F.sum("votes").over(near)).filter(F.col("around") >= of([need for *_, need in limits]))
+    merged = written(spans.select("doc_id", "row_id", "template", "diagonal"), "spans")
+    return _verified(source, merged, templates, k, cover)
+
+
+def _verified(source: DataFrame, spans: DataFrame, templates: dict[str, str], k: int, cover: float) -> DataFrame:
     names = list(templates)
     lists = [_words(t).hash.tolist() for t in templates.values()]
+    limits = [_limits(len(x), k, cover) for x in lists]
     schema = pa.schema([("doc_id", pa.int64()), ("template", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("matched", pa.int32()), ("template_words", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,16 +184,13 @@ def _verified(source: DataFrame, spans: DataFrame, templates: dict[str, str], co
             for d, doc_id, found in zip(range(len(off) - 1), batch.column("doc_id").to_pylist(), batch.column("found").to_pylist()):
                 own = words.hash[words.first[d] : words.first[d + 1]].tolist()
                 verified = []
-                for s in found:
-                    template = lists[s["template"]]
-                    n = len(template)
-                    for slack in (int(n * (1 - cover)) + 1, 0):
-                        begin, end = max(0, s["top"] - slack), min(len(own), s["bottom"] + n + slack)
-                        matched, first, last = aligned(own[begin:end], template)
-                        foreign = last - first + 1 - matched
-                        if matched >= cover * n and foreign <= matched * (1 - cover) + 1:
-                            verified.append((n - 2 * matched + foreign, s["template"], begin + first, begin + last, matched))
-                            break
+                begins: dict[int, set[int]] = {}
+                for x in found:
+                    missing, _, drift, _ = limits[x["template"]]
+                    begins.setdefault(x["template"], set()).update(range(max(0, x["diagonal"] - drift), min(len(own), x["diagonal"] + drift + missing + 1)))
+                for number, starts in begins.items():
+                    for score, first, last, matched in notices(own, lists[number], starts, cover):
+                        verified.append((score, number, first, last, matched))
                 taken: list[tuple[int, int]] = []
                 for _, number, first, last, matched in sorted(verified):
                     if all(last < a or first > b for a, b in taken):
@@ -168,7 +199,7 @@ def _verified(source: DataFrame, spans: DataFrame, templates: dict[str, str], co
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
-    grouped = spans.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("template", "top", "bottom")).alias("found"))
+    grouped = spans.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("template", "diagonal")).alias("found"))
     grouped = written(grouped.withColumnRenamed("doc_id", "id"), "found")
     near = source.join(small(grouped.select("row_id").distinct()), "row_id", "left_semi")
     near = near.join(grouped, (near.row_id == grouped.row_id) & near.doc_id.eqNullSafe(grouped.id))

@@ -64,3 +64,21 @@ def test_every_notice_of_the_documents(spark):
             if f" {text} " in words:
                 want.add((r.doc_id, name))
     assert want and got == want
+
+
+def test_notices_with_insertions_and_short_ones(spark):
+    """All that verification accepts has enough votes, whatever way the words are spread."""
+    rng = random.Random(6)
+    def spread(text, pieces, words, drop=0):  # foreign words between equal parts
+        own = text.split()
+        for p in sorted(rng.sample(range(1, len(own) - 1), drop), reverse=True):
+            del own[p]
+        for i in range(pieces, 0, -1):
+            at = i * len(own) // (pieces + 1)
+            own[at:at] = [f"zz{i}q{j}" for j in range(words)]
+        return "some words before " + " ".join(own) + " and some behind"
+    rows = [(1, spread(ls.TEMPLATES["mit"], 8, 4)), (2, spread(ls.TEMPLATES["apache-2.0-header"], 5, 3)), (3, "x Released under MIT License y")]
+    rows += [(4, spread(ls.TEMPLATES["mit"], 25, 1, drop=20)), (5, "x all rights are reserved y"), (6, spread(ls.TEMPLATES["mit"], 15, 4))]
+    got = {(r.doc_id, r.template) for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, "mit"), (2, "apache-2.0-header"), (3, "notice-mit"), (4, "mit"), (5, "notice-all-rights-reserved")} <= got
+    assert (6, "mit") not in got  # 60 foreign words are too many
