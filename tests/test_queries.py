@@ -95,3 +95,15 @@ def test_pdf_files(spark, tmp_path):
     (tmp_path / "c.pdf").write_bytes(b"not one")
     got = {r.id.rsplit("/", 1)[1]: r for r in tables.pdf_files(spark, str(tmp_path), pdf.Options(max_bytes=2000)).collect()}
     assert got["a.pdf"].text == "Hello there" and "larger" in got["b.pdf"].error and got["c.pdf"].error == "not a PDF file"
+
+
+def test_benchmark_lookup_against_all_pairs(spark, con):
+    docs = con.sql("SELECT doc_id, text FROM documents").fetchall()
+    items = con.sql("SELECT item_id, text FROM benchmark").fetchall()
+    sigs, _ = sketch.minhash([t for _, t in docs], MinHash())
+    probes, _ = sketch.minhash([t for _, t in items], MinHash())
+    want = {(i, d) for (i, _), p in zip(items, probes) if p is not None for (d, _), s in zip(docs, sigs) if s is not None and (p == s).mean() >= 0.3}
+    got = {(r.probe, r.id) for r in registry.lsh_lookup_benchmark(spark, DATA).collect()}
+    narrow = {(r.probe, r.id) for r in registry.lsh_query_benchmark(spark, DATA).collect()}
+    print("pairs", len(want), "found", len(want & got), "narrow found", len(want & narrow))
+    assert want and got <= want and len(got) >= 0.95 * len(want)
