@@ -104,9 +104,11 @@ def text(data: bytes, options: Options = Options()) -> str:
             raw = body[s.end() : stop if stop >= 0 else len(body)]
             if b"/FlateDecode" in heads[int(m[1])]:
                 try:
-                    raw = zlib.decompressobj().decompress(raw, options.max_bytes)
+                    raw = zlib.decompressobj().decompress(raw, options.max_bytes + 1)
                 except zlib.error:
                     continue
+                if len(raw) > options.max_bytes:
+                    raise InvalidInput(f"a stream inflates to more than {options.max_bytes} bytes")
             streams[int(m[1])] = raw
     if not heads:
         raise InvalidInput("the file has no objects")

@@ -339,3 +339,14 @@ def test_scripts_differ():
     found, some = sketch.minhash(docs, MinHash(tokens=WORDS))
     assert some.all() and len({tuple(f) for f in found}) == len(docs)
     assert math.isclose(len(unicodedata.normalize("NFC", docs[0])), len(docs[0]))
+
+
+def test_pdf_stream_beyond_the_limit():
+    """No prefix of a text without an error."""
+    import zlib
+
+    stream = zlib.compress(b"BT (begin) Tj ET" + b" " * 5000 + b"BT (end) Tj ET")
+    file = b"%PDF-1.4\n1 0 obj\n<< /Filter /FlateDecode >>\nstream\n" + stream + b"\nendstream\nendobj\n"
+    assert pdf.text(file, pdf.Options(max_bytes=5030)) == "begin\nend"
+    with pytest.raises(InvalidInput):
+        pdf.text(file, pdf.Options(max_bytes=5029))
