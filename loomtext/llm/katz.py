@@ -1,48 +1,49 @@
-"""Language-model scores of documents by Katz backoff, every document by a model that has not seen it.
+"""Katz backoff language model: fitted on a corpus, stored as a table, evaluated on any documents.
 
-Documents fall into two folds by a hash of their id; those of one are scored by the n-gram counts of the
-other. Words are the lowered runs of letters, digits and everything beyond ASCII, known by 48 bits of their
-hash. Counts up to K are discounted after Good and Turing (a discount outside (0, 1) counts as 1); a context
-that would keep all its mass gets one count more. What a context has left is spread over the words
-it was not followed by, in proportion to the next shorter context:
+Words are the lowered runs of letters, digits and everything beyond ASCII, known by 48 bits of their hash; an n-gram is
+known by 64 bits. All n-grams of the corpus up to ORDER are counted, and the numbers of n-grams that occur once, twice and so on
+give the discounts d(r) of counts up to K after Good and Turing (one outside (0, 1) counts as 1). As usual with Katz's
+model, n-grams of two words and more enter it from LEAST occurrences on: what occurs once, in the document that is scored
+perhaps, is scored as unseen, and its mass goes to backoff.
 
-    P(w | h) = d(c) c / C(h)          if hw was counted,
-    P(w | h) = alpha(h) P(w | h')     if not,     alpha(h) = left(h) / (1 - sum of P(v | h') over counted hv),
+    P(w | h) = d(c) c / C(h)          if hw is in the model, c = c(hw),
+    P(w | h) = alpha(h) P(w | h')     if not,     alpha(h) = left(h) / (1 - sum of P(v | h') over the hv in the model),
 
-so each distribution sums to 1 exactly. At the bottom the mass left is that of one class, all unknown words. A word
-with fewer than ORDER - 1 words before it is scored at the order it has.
+where left(h) is the share of C(h), all that follows h, which the hv in the model do not take, so every distribution sums to 1
+exactly. A context whose n-grams would keep all its mass gets one count more. The mass that single words leave is
+spread evenly over the words not met, their number estimated by Chao's n1 (n1 - 1) / 2 (n2 + 1), so a word never heard of is
+less likely than any that was. A word with fewer than ORDER - 1 words before it is scored at the order it has.
 
-Storage: one Parquet table, bucketed by a hash of the context, has for each order and bucket the contexts, words,
-counts of both folds, and the places in documents that are to be scored there. It is made in one shuffle
-of packed blocks already summed by map task. Scoring is one pass of that table for each order, lowest first: a bucket
-meets the probabilities it asked of the next shorter order (each word once) and answers those asked of it, or adds up its part of
-each document's score. The blocks of the table do not move again. Buckets grow in number with the text, not in size:
-contexts too frequent for a bucket are found beforehand and cut into slices by the word that follows; what their slices count is
-added up before it is used.
+Storage: ``ngrams`` is a Parquet table partitioned by order (ord, key, count, total, backoff; total and backoff are those of the n-gram
+as a context), ``summary`` has a row for each order (the discounts and the numbers behind them). ``read_model`` opens both.
+
+How it runs: documents become blocks of at most about FLUSH words, written once. For every order each block sends its distinct n-grams, sorted,
+packed and already counted, to buckets by the key's high bits; so the most frequent n-gram has one entry for each block,
+and no context is ever gathered in one place. Answers come back aligned with what was sent, without keys. Buckets
+and blocks grow in number with the text, not in size, and an order's shuffle ends before the next begins.
 
 Defined results: a null, empty or wordless text has n_words 0 and scores null. Rows that repeat an id are
-scored each; a null id belongs to fold 0 and is reported as null. If a fold has no words, everything scored by it is one
-unknown class and has score 0. Other columns are not read.
+scored each; a null id is reported as null. A model without words gives every word the same small probability. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm._text import U64, Words, blocks, flat, mix
-from loomtext.session import scratch_path, table, written
+from loomtext.session import drop, scratch_path, table, written
 
-ORDER, K, BUCKET_BYTES, FLUSH = 2, 5, 8 << 20, 1_000_000
+ORDER, K, LEAST, FLUSH, BUCKET_WORDS = 3, 5, 2, 2_000_000, 2_000_000
 _ODD = U64(0x9E3779B97F4A7C15)
 _ZSTD = pa.Codec("zstd", 1)
-_MAPPED = "part bigint, ord int, bucket int, data binary, docs array<struct<doc_id: bigint, n_words: int>>"
+_NGRAMS = "ord int, key bigint, count bigint, total bigint, backoff double"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -59,9 +60,9 @@ def pack(*arrays: np.ndarray) -> bytes:
                 raw = a.astype(kind).tobytes()
         else:
             kind, raw = "<f8", a.astype("<f8").tobytes()
-        small = _ZSTD.compress(raw, asbytes=True) if raw else raw
-        use = len(small) < 0.95 * len(raw)
-        out.append(struct.pack("<3sBQQ", kind.encode(), use, len(a), len(small if use else raw)) + (small if use else raw))
+        small_ = _ZSTD.compress(raw, asbytes=True) if raw else raw
+        use = len(small_) < 0.95 * len(raw)
+        out.append(struct.pack("<3sBQQ", kind.encode(), use, len(a), len(small_ if use else raw)) + (small_ if use else raw))
     return b"".join(out)
 
 
@@ -80,239 +81,202 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _pack_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys as the first and the steps from one to the next."""
+    return keys[:1], np.diff(keys)
+
+
+def _unpack_keys(first: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.r_[first.astype(U64), steps.astype(U64)], dtype=U64)
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+
+
 def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     """Rises with the key, so what is sorted by key is sorted by bucket."""
     return ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where a new combination begins."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    new = np.zeros(len(keys[0]), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
-
-
-def _contexts(word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """For the places n - 1 and on: the key of the context and of the next shorter one. A single word is its own key."""
-
-    def of(k: int) -> np.ndarray:
-        m = len(word) - (n - 1)
-        key = np.zeros(m, U64)
-        for j in range(n - 1 - k, n - 1):
-            key *= _ODD
-            key += word[j : j + m]
-            key += U64(1)
-        key += U64(k)
-        return mix(key)
-
-    if n == 1:
-        return mix(word), None
-    return of(n - 1), of(n - 2) if n > 2 else None
-
-
-class Hot:
-    """Contexts that are cut into slices: by order, their keys (sorted) and numbers of slices. About two for each bucket at most."""
-
-    def __init__(self, found: dict[int, list[tuple[int, int]]]):
-        self.of = {n: tuple(np.array(x, np.uint64) for x in zip(*sorted(rows))) for n, rows in found.items() if rows}
-
-    def sliced(self, n: int, key: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Keys with those of hot contexts replaced by their slices'."""
-        if n not in self.of or not len(key):
-            return key
-        keys, slices = self.of[n]
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = np.flatnonzero(keys[at] == key)
-        if len(hit):
-            key = key.copy()
-            key[hit] = _slice(key[hit], word[hit] % slices[at[hit]])
-        return key
-
-    def table(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all slices, sorted, and the number of the context each belongs to."""
-        keys, slices = self.of[n]
-        context = np.repeat(np.arange(len(keys)), slices.astype(np.int64))
-        own = _slice(keys[context], (np.arange(len(context)) - np.repeat(np.cumsum(slices.astype(np.int64)) - slices.astype(np.int64), slices.astype(np.int64))).astype(U64))
-        by = np.argsort(own)
-        return own[by], context[by]
-
-
-def _slice(key: np.ndarray, part: np.ndarray) -> np.ndarray:
-    return mix(key + (part + U64(1)) * _ODD)
-
-
-def frequent(source: DataFrame, order: int, buckets: int) -> Hot:
-    """Contexts with over half a bucket's share of an order's places.
-
-    Each task hands on the contexts that are frequent among its own words, so what is summed is small; a context that is only
-    frequent overall may be missed, which costs balance and never correctness.
-    """
-    if buckets == 1 or order == 1:
-        return Hot({})
-    schema = pa.schema([("ord", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+def _bucket(key: Column, buckets: int) -> Column:
+    """The same of a column."""
+    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(buckets).cast("bigint"), 32).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = flat(batch.column(0))
-            for i, j in blocks(off, 1_000_000):
-                words = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                word, place = words.hash >> U64(16), words.index
-                for n in range(2, order + 1):
-                    if len(word) < n:
-                        continue
-                    key = _contexts(word, n)[0][place[n - 1 :] >= n - 1]
-                    value, count = np.unique(key, return_counts=True)
-                    often = count > len(key) / (4 * buckets)
-                    rows = int(often.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([n] * (rows + 1), pa.int32()), pa.array(np.r_[value[often].view(np.int64), 0], mask=np.r_[np.zeros(rows, bool), True]), pa.array(np.r_[count[often], len(key)])], schema=schema)
-
-    each = source.select("text").mapInArrow(run, "ord int, key bigint, n bigint").groupBy("ord", "key").agg(F.sum("n").alias("n"))
-    each = written(each, "frequent")
-    totals = {r["ord"]: r["n"] for r in each.filter("key IS NULL").collect()}
-    found: dict[int, list[tuple[int, int]]] = {}
-    for n, total in totals.items():
-        share = total / buckets
-        rows = each.filter((F.col("ord") == n) & F.col("key").isNotNull() & (F.col("n") > share / 2)).collect()
-        found[n] = [(r["key"] % (1 << 64), int(np.ceil(4 * r["n"] / share))) for r in rows]
-    return Hot(found)
-
-
-def _blocks(word: np.ndarray, doc: np.ndarray, place: np.ndarray, fold: np.ndarray, order: int, buckets: int, hot: Hot) -> Iterator[tuple[int, int, bytes]]:
-    """Order, bucket and packed counts of some documents."""
-    for n in range(1, order + 1):
-        if len(word) < n:
-            return
-        key, shorter = _contexts(word, n)
-        key = hot.sliced(n, key, word[n - 1 :])
-        by = np.lexsort((word[n - 1 :], key)).astype(np.int32)  # stable: documents stay in order
-        by = by[place[n - 1 :][by] >= n - 1]
-        if not len(by):
-            continue
-        key, w, d = key[by], word[n - 1 :][by], doc[n - 1 :][by]
-        shorter = None if shorter is None else shorter[by]
-        entry = _runs(key, w)
-        size = np.diff(np.r_[entry, len(w)]).astype(np.int32)
-        c1 = np.add.reduceat(fold[d], entry, dtype=np.int32)
-        c0 = size - c1
-        # places to score, each document once an entry
-        of_entry = np.repeat(np.arange(len(entry), dtype=np.int32), size)
-        where = d
-        if n < order:
-            scored = np.flatnonzero(place[n - 1 :][by] == n - 1)
-            of_entry, where = of_entry[scored], d[scored]
-        del by, d, size
-        first = _runs(of_entry, where)
-        times = np.diff(np.r_[first, len(where)]).astype(np.int32)
-        where = where[first]
-        posts = np.bincount(of_entry[first], minlength=len(entry)).astype(np.int32)
-        del of_entry, first
-        b = _bucket_of(key[entry], buckets)
-        ends = np.flatnonzero(np.diff(np.r_[b, -1]))
-        lo, plo = 0, 0
-        for end in ends:
-            hi, phi = end + 1, plo + int(posts[lo : end + 1].sum())
-            own_key = key[entry[lo:hi]]
-            head = _runs(own_key)
-            yield n, int(b[lo]), pack(
-                own_key[head], np.zeros(len(head), U64) if shorter is None else shorter[entry[lo:hi]][head], np.diff(np.r_[head, hi - lo]), w[entry[lo:hi]], c0[lo:hi], c1[lo:hi],
-                posts[lo:hi], where[plo:phi].astype(np.int64) * 2 + fold[where[plo:phi]], times[plo:phi], np.array([len(fold)]),
-            )
-            lo, plo = hi, phi
-
-
-def _mapped(docs: DataFrame, order: int, buckets: int, hot: Hot) -> DataFrame:
-    schema = pa.schema([("part", pa.int64()), ("ord", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_words", pa.int32())])))])
+
+def _ngrams(word: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all n-grams, and the place of each one's last word."""
+    m = len(word) - n + 1
+    if m <= 0:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    key = np.zeros(m, U64)
+    for j in range(n):
+        key *= _ODD
+        key += word[j : j + m]
+        key += U64(1)
+    at = np.flatnonzero(place[n - 1 :] >= n - 1)
+    return mix(key[at] + U64(n)), at + n - 1
+
+
+class Grams:
+    """The distinct n-grams of a block: sorted keys, and which of them ends at each word (-1: none)."""
+
+    def __init__(self, word: np.ndarray, place: np.ndarray, n: int):
+        key, at = _ngrams(word, place, n)
+        by = np.argsort(key)
+        entry = _runs(key[by])
+        self.keys = key[by[entry]]
+        self.counts = np.diff(np.r_[entry, len(by)])
+        self.first = at[by[entry]]
+        self.of = np.full(len(word), -1, np.int64)
+        self.of[at[by]] = np.repeat(np.arange(len(entry)), self.counts)
+
+    def cuts(self, buckets: int) -> list[tuple[int, int, int]]:
+        """Bucket, begin and end of each bucket's keys."""
+        if not len(self.keys):
+            return []
+        b = _bucket_of(self.keys, buckets)
+        ends = np.r_[_runs(b), len(b)]
+        return [(int(b[i]), int(i), int(j)) for i, j in zip(ends, ends[1:])]
+
+
+_LISTED = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_words", pa.int32())]))
+
+
+def word_blocks(docs: DataFrame) -> DataFrame:
+    """The documents' words as written blocks: a number, the documents, and the packed word hashes."""
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    schema = pa.schema([("block", pa.int64()), ("docs", _LISTED), ("words", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() << 24  # the same when a task is run again
+        number = TaskContext.get().partitionId() << 24
         held: list[tuple] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, part
-            counts = np.concatenate([h[2] for h in held])
-            fold = np.concatenate([h[4] for h in held]).astype(np.int8)
-            base = np.cumsum([0] + [len(h[2]) for h in held])
-            word, doc, place = (np.concatenate(x) for x in ([h[0] for h in held], [h[1] + np.int32(b) for h, b in zip(held, base)], [h[3] for h in held]))
-            ids = pa.concat_arrays([h[5] for h in held])
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size, number
+            word, counts, ids = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), pa.concat_arrays([h[2] for h in held])
             held, size = [], 0
-            rows = [(part, n, b, data, None) for n, b, data in _blocks(word, doc, place, fold, order, buckets, hot)]
+            known, code, often = np.unique(word, return_inverse=True, return_counts=True)
+            by = np.argsort(-often, kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            code = rank[code]
             listed = pa.StructArray.from_arrays([ids, pa.array(counts.astype(np.int32))], ["doc_id", "n_words"])
-            own = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([0], pa.int32()), pa.array([int(mix(np.array([part], U64))[0] % U64(buckets))], pa.int32()), pa.nulls(1, pa.binary()), own], schema=schema)
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 64]), schema)], schema=schema)
-            part += 1
+            number += 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number - 1]), pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed), pa.array([len(word)]), pa.array([pack(known[by], code & 0xFFFF, code >> 16)], pa.binary())], schema=schema
+            )
 
         for batch in batches:
-            raw, off = flat(batch.column(2))
-            folds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in blocks(off, 1_000_000):
+            raw, off = flat(batch.column(1))
+            for i, j in blocks(off, 2_000_000):
                 words = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                held.append((words.hash >> U64(16), words.doc.astype(np.int32), words.counts, words.index.astype(np.int32), folds[i:j], batch.column(0).slice(i, j - i)))
+                held.append((words.hash >> U64(16), words.counts, batch.column(0).slice(i, j - i)))
                 size += len(words.hash)
                 if size >= FLUSH:
-                    yield from flush()
+                    yield flush()
         if held:
-            yield from flush()
-
-    return docs.mapInArrow(run, _MAPPED)
-
-
-def _merge(parts: list[int], datas: list[bytes]) -> bytes:
-    """Blocks of one order and bucket as one."""
-    cols: list[list] = [[] for _ in range(8)]
-    base, sizes = 0, []
-    for data in datas:
-        head, shorter, run, w, c0, c1, posts, where, times, n = unpack(data)
-        for c, x in zip(cols, (np.repeat(head, run), np.repeat(shorter, run), w, c0, c1, posts, where + 2 * base, times)):
-            c.append(x)
-        sizes.append(int(n[0]))
-        base += sizes[-1]
-    key, shorter, w, c0, c1, posts, where, times = (np.concatenate(c) for c in cols)
-    cols.clear()
-    by = np.lexsort((w, key))
-    start = np.cumsum(posts) - posts
-    posts, start = posts[by], start[by]
-    move = np.repeat(start - (np.cumsum(posts) - posts), posts) + np.arange(int(posts.sum()))
-    where, times = where[move], times[move]
-    key, shorter, w = key[by], shorter[by], w[by]
-    entry = _runs(key, w)
-    c0, c1, posts = (np.add.reduceat(x[by] if x is not posts else x, entry) for x in (c0, c1, posts))
-    key, shorter, w = key[entry], shorter[entry], w[entry]
-    head = _runs(key)
-    return pack(key[head], shorter[head], np.diff(np.r_[head, len(key)]), w, c0, c1, posts, where, times, np.array(sizes))
-
-
-def count(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int, Hot]:
-    """The bucketed table of both folds, its number of buckets, and the contexts that are cut into slices."""
-    spark = docs.sparkSession
-    fold = F.coalesce(F.expr("pmod(shiftright(pmod(doc_id, 2147483648L) * 40503L, 12), 2L)"), F.lit(0)).cast("int")
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).select("doc_id", fold.alias("fold"), "text")
-    total = source.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    buckets = int(min(-(-total // bucket_bytes) or 1, 100_000))
-    hot = frequent(source, order, buckets)
-    schema = pa.schema([("ord", pa.int32()), ("bucket", pa.int32()), ("parts", pa.list_(pa.int64())), ("data", pa.binary()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_words", pa.int32())])))])
+            yield flush()
+
+    kind = "block bigint, docs array<struct<doc_id: bigint, n_words: int>>, words bigint, data binary"
+    return written(source.mapInArrow(run, kind), "blocks")
+
+
+def _words_of(data: bytes, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a block, and each word's place in its document."""
+    known, low, high = unpack(data)
+    word = known.astype(U64)[low | high << 16]
+    return word, np.arange(len(word)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
+
+
+def _counts_of(docs: pa.Scalar) -> np.ndarray:
+    return docs.values.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _sent(parts: DataFrame, n: int, buckets: int, count: bool, last: bool) -> DataFrame:
+    """Each block's n-grams by bucket; with ``count`` how often each occurs, and how often at a document's end unless ``last``."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, docs, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                word, place = _words_of(data.as_buffer().to_pybytes(), _counts_of(docs))
+                grams = Grams(word, place, n)
+                ending = None
+                if count and not last:
+                    final = np.flatnonzero(np.r_[place[1:] == 0, True][: len(place)])
+                    final = grams.of[final]
+                    ending = np.bincount(final[final >= 0], minlength=len(grams.keys))
+                rows = []
+                for b, i, j in grams.cuts(buckets):
+                    columns = [*_pack_keys(grams.keys[i:j])]
+                    if count:
+                        columns += [grams.counts[i:j] - 1] + ([] if ending is None else [ending[i:j]])
+                    rows.append((b, block, pack(*columns)))
+                for i in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 256]), schema)], schema=schema)
+
+    return parts.select("block", "docs", "data").mapInArrow(run, "bucket int, block bigint, data binary")
+
+
+def _counted(parts: DataFrame, n: int, order: int, least: int, k: int, buckets: int) -> DataFrame:
+    """Written rows of three kinds: 0 statistics, 1 the n-grams of the model by bucket, 2 what each block is to hand on.
+
+    A block's answer has, for each n-gram it sent, the count over all documents if the n-gram is in the model and no block
+    with a smaller number sent it, else 0.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("key", pa.list_(pa.int64())), ("count", pa.list_(pa.int64())), ("followed", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def merged(key: tuple, rows: pa.Table) -> pa.Table:
-        n, bucket = (k.as_py() for k in key)
-        rows = rows.sort_by("part")
-        if n == 0:
-            return pa.table([rows["ord"], rows["bucket"], pa.array([[p] for p in rows["part"].to_pylist()], pa.list_(pa.int64())), rows["data"], rows["docs"]], schema=schema)
-        parts = rows["part"].to_pylist()
-        return pa.table([pa.array([n], pa.int32()), pa.array([bucket], pa.int32()), pa.array([parts], pa.list_(pa.int64())), pa.array([_merge(parts, rows["data"].to_pylist())], pa.binary()), pa.nulls(1, schema[4].type)], schema=schema)
+        bucket = key[0].as_py()
+        rows = rows.sort_by("block")
+        numbers, parts_ = rows["block"].to_pylist(), [unpack(d) for d in rows["data"].to_pylist()]
+        keys = [_unpack_keys(p[0], p[1]) for p in parts_]
+        sizes = np.array([len(x) for x in keys])
+        every = np.concatenate(keys)
+        by = np.argsort(every, kind="stable")
+        entry = _runs(every[by])
+        count = np.add.reduceat((np.concatenate([p[2] for p in parts_]) + 1)[by], entry)
+        followed = count - np.add.reduceat(np.concatenate([p[3] for p in parts_])[by], entry) if n < order else count * 0
+        stats = [int((count == r).sum()) for r in range(1, k + 2)] + [int(count.sum())]
+        kept = np.flatnonzero(count >= least)
+        out = [(0, bucket, None, None, stats, None, None), (1, bucket, None, every[by[entry[kept]]].view(np.int64), count[kept], followed[kept], None)]
+        if n > 1:
+            answer = np.zeros(len(every), np.int64)
+            answer[by[entry[kept]]] = count[kept]
+            ends = np.cumsum(sizes)
+            out += [(2, bucket, b, None, None, None, pack(answer[e - s : e])) for b, s, e in zip(numbers, sizes, ends)]
+        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
+
+    kind = "kind int, bucket int, block bigint, key array<bigint>, count array<bigint>, followed array<bigint>, data binary"
+    return written(_sent(parts, n, buckets, True, n == order).groupBy("bucket").applyInArrow(merged, kind), "counts", "kind")
+
+
+def _links(parts: DataFrame, answers: DataFrame, n: int) -> DataFrame:
+    """key, ctx, low and count of every n-gram of the model, once: itself, its context, and itself without its first word."""
+    names = ["key", "ctx", "low", "count"]
 
-    kind = "ord int, bucket int, parts array<bigint>, data binary, docs array<struct<doc_id: bigint, n_words: int>>"
-    rows = _mapped(source, order, buckets, hot).groupBy("ord", "bucket").applyInArrow(merged, kind)
-    name = f"loomtext_katz_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "bucket").sortBy("bucket").format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "katz")).saveAsTable(name)
-    return spark.table(name), buckets, hot
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 4, names=names)
+        word, place = _words_of(left["data"][0].as_py(), _counts_of(left["docs"][0]))
+        grams = Grams(word, place, n)
+        right = right.sort_by("bucket")
+        count = np.concatenate([unpack(d)[0] for d in right["data"].to_pylist()])
+        own = np.flatnonzero(count)
+        key_, at = _ngrams(word, place, n - 1)
+        shorter = np.zeros(len(word), U64)
+        shorter[at] = key_
+        end = grams.first[own]
+        return pa.table([pa.array(x.view(np.int64)) for x in (grams.keys[own], shorter[end - 1], shorter[end], count[own])], names=names)
+
+    return parts.select("block", "docs", "data").groupBy("block").cogroup(answers.select("block", "bucket", "data").groupBy("block")).applyInArrow(run, "key bigint, ctx bigint, low bigint, count bigint")
 
 
 def discounts(n: list[int], k: int = K) -> list[float]:
@@ -328,249 +292,228 @@ def discounts(n: list[int], k: int = K) -> list[float]:
     return out
 
 
-def statistics(counts: DataFrame, order: int, k: int = K) -> list[list[tuple[np.ndarray, int, float]]]:
-    """By order and fold: the discount of each count (0 to k + 1, the last for all above), all occurrences, and the discounted ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = unpack(data)[4:6]
-                rows = [(n, f, [int((c[f] == r).sum()) for r in range(1, k + 2)], int(c[f].sum())) for f in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64()))], names=["ord", "fold", "n", "total"])
-
-    each = counts.filter("ord > 0").select("ord", "data").mapInArrow(run, "ord int, fold int, n array<bigint>, total bigint")
-    rows = each.groupBy("ord", "fold").agg(*[F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(k + 1)], F.sum("total").alias("total")).collect()
-    out = [[(np.ones(k + 2), 0, 0.0) for _ in (0, 1)] for _ in range(order + 1)]
-    for r in rows:
-        d = discounts([r[f"n{i}"] for i in range(k + 1)], k)
-        mass = r["total"] - sum((1 - x) * (i + 1) * r[f"n{i}"] for i, x in enumerate(d))
-        out[r["ord"]][r["fold"]] = (np.array([0.0, *d, 1.0]), r["total"], mass)
-    return out
-
-
-def _asked(n: int, shorter: np.ndarray, w: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What a block of order n asks of order n - 1: keys and words, sorted, and where each entry's answer stands."""
-    lower = mix(w) if n == 2 else hot.sliced(n - 1, shorter, w)
-    by = np.lexsort((w, lower))
-    entry = _runs(lower[by], w[by])
-    back = np.empty(len(w), np.int64)
-    back[by] = np.repeat(np.arange(len(entry)), np.diff(np.r_[entry, len(w)]))
-    return lower[by][entry], w[by][entry], back
-
-
-def _requests(counts: DataFrame, n: int, buckets: int, hot: Hot) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                head, shorter, run_, w = unpack(data)[:4]
-                lower, word, _ = _asked(n, np.repeat(shorter, run_), w, hot)
-                b = _bucket_of(lower, buckets)
-                cut = np.r_[0, np.flatnonzero(np.diff(b)) + 1, len(b)]
-                own = [(int(b[i]), bucket, pack(lower[i:j] if n > 2 else lower[:0], word[i:j])) for i, j in zip(cut, cut[1:]) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "other", "data"])
-
-    return counts.filter(F.col("ord") == n).select("bucket", "data").mapInArrow(run, "bucket int, other int, data binary").withColumn("kind", F.lit(1))
-
-
-def _sums(n: int, block: list[np.ndarray], lower: np.ndarray, stats) -> np.ndarray:
-    """By fold and context of a block: what follows it in all, after discounts, and its mass by the next shorter order."""
-    head, _, run, _, c0, c1 = block[:6]
-    out = np.empty((2, 3, len(head)))
-    first = np.cumsum(run) - run
-    for f, c in enumerate((c0, c1)):
-        d = stats[f][0]
-        for k, x in enumerate((c, d[np.minimum(c, len(d) - 1)] * c, np.where(c > 0, lower[f], 0.0))):
-            out[f, k] = np.add.reduceat(x, first)
-    return out
-
-
-def _block_probabilities(n: int, block: list[np.ndarray], lower: np.ndarray | None, stats, whole: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: keys and words by entry, P (fold, entry), and by context alpha (fold)."""
-    head, _, run, w, c0, c1 = block[:6]
-    p = np.empty((2, len(w)))
-    alpha = np.ones((2, len(head)))
-    sums = None if n == 1 else _sums(n, block, lower, stats)
-    if whole is not None:  # slices take the sums of their contexts
-        slices, context, values = whole
-        at = np.minimum(np.searchsorted(slices, head), len(slices) - 1)
-        hit = np.flatnonzero(slices[at] == head)
-        sums[:, :, hit] = values[:, :, context[at[hit]]]
-    for f, c in enumerate((c0, c1)):
-        d, total, mass = stats[f]
-        seen = c > 0
-        kept = d[np.minimum(c, len(d) - 1)] * c
+@dataclass
+class Model:
+    """The table of n-grams, and by order the discount of each count (0 to K + 1, the last for all above)."""
+
+    order: int
+    ngrams: DataFrame
+    words: int
+    bottom: int
+    unknown: float
+    discount: list[np.ndarray] = field(default_factory=list)
+    path: str = ""
+
+
+def _summarised(spark: SparkSession, rows: list[tuple[int, list[int], int]], k: int) -> tuple[list[np.ndarray], int, int, float]:
+    """Discounts by order, all words, what single words are divided by, and the probability of a word not met."""
+    found = {n: (numbers, total) for n, numbers, total in rows}
+    order = max(found, default=0)
+    discount = [np.zeros(k + 2)] + [np.array([0.0, *discounts(found[n][0], k), 1.0]) for n in range(1, order + 1)]
+    if not order or not found[1][1]:
+        return discount, 0, 1, 1e-12
+    numbers, total = found[1]
+    mass = total - sum((1 - discount[1][r]) * r * numbers[r - 1] for r in range(1, k + 1))
+    full = mass > total * (1 - 1e-12)
+    unseen = max(1.0, numbers[0] * (numbers[0] - 1) / 2 / (numbers[1] + 1))
+    left = 1 / (total + 1) if full else 1 - mass / total
+    return discount, total, total + 1 if full else total, left / unseen
+
+
+def _kept(count: Column, discount: np.ndarray) -> Column:
+    d = F.array(*[F.lit(float(x)) for x in discount])
+    return F.element_at(d, F.least(count, F.lit(len(discount) - 1)).cast("int") + 1) * count
+
+
+def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST, k: int = K, bucket_words: int = BUCKET_WORDS) -> Model:
+    """A model of all documents (doc_id, text), stored in the shared folder."""
+    parts = word_blocks(docs)
+    model = fit_blocks(parts, order, least, k, bucket_words)
+    drop(parts)
+    return model
+
+
+def fit_blocks(parts: DataFrame, order: int = ORDER, least: int = LEAST, k: int = K, bucket_words: int = BUCKET_WORDS) -> Model:
+    """The model of documents that are already in blocks."""
+    if order < 1 or least < 1:
+        raise ValueError("order and least are at least 1")
+    spark = parts.sparkSession
+    total = parts.agg(F.sum("words")).first()[0] or 0
+    buckets = -(-total // bucket_words) or 1
+    path = scratch_path(spark, "katz")
+    rows: list[tuple[int, list[int], int]] = []
+    below = discount = None  # what is known of order n - 1: its n-grams, and their probabilities
+    for n in range(1, order + 1):
+        counted = _counted(parts, n, order, least if n > 1 else 1, k, buckets)
+        numbers = [0] * (k + 2)
+        for i, x in counted.filter("kind = 0").select(F.posexplode("count").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+            numbers[i] = x
+        rows.append((n, numbers[:-1], numbers[-1]))
+        discount, _, bottom, _ = _summarised(spark, rows, k)
+        grams = counted.filter("kind = 1").select(F.explode(F.arrays_zip("key", "count", "followed")).alias("g")).select("g.*")
         if n == 1:
-            p[f] = np.where(seen, kept / max(total, 1), 0)
-            if mass > total * (1 - 1e-12):  # nothing was discounted
-                p[f] = np.where(seen, c / (total + 1), 0)
-            continue
-        low = lower[f]
-        all_, left, taken = sums[f]
-        full = left > all_ * (1 - 1e-12)
-        bottom = np.where(full, all_ + 1, all_).astype(float)
-        left = np.where(full, all_, left)
-        known = all_ > 0
-        alpha[f][known] = (1 - left[known] / bottom[known]) / np.maximum(1 - taken[known], 1e-300)
-        p[f] = np.where(seen, np.where(np.repeat(full, run), c, kept) / np.maximum(np.repeat(bottom, run), 1), np.repeat(alpha[f], run) * low)
-    return np.repeat(head, run), w, p, alpha
-
-
-def _unknown(stats) -> list[float]:
-    """Mass of the unknown class in each fold's unigrams."""
-    return [1.0 if not total else 1 / (total + 1) if mass > total * (1 - 1e-12) else 1 - mass / total for _, total, mass in stats]
-
-
-def _heard(n: int, block: list[np.ndarray], right: pa.Table, hot: Hot) -> np.ndarray:
-    """By fold and entry of a block, the probabilities it asked for."""
-    rows = sorted((o, d) for k, o, d in zip(right["kind"].to_pylist(), right["other"].to_pylist(), right["data"].to_pylist()) if k == 2)
-    answers = [unpack(d) for _, d in rows]
-    back = _asked(n, np.repeat(block[1], block[2]), block[3], hot)[2]
-    return np.array([np.concatenate([a[f] for a in answers])[back] for f in (0, 1)])
-
-
-def _whole(counts: DataFrame, right: DataFrame, n: int, stats, hot: Hot) -> tuple | None:
-    """Sums of the hot contexts of an order over all their slices; a few rows for each of them."""
-    if n not in hot.of:
-        return None
-    slices, context = hot.table(n)
+            probabilities, used = grams.select(F.col("key").alias("key_below"), (_kept(F.col("count"), discount[1] if bottom == numbers[-1] else np.ones(k + 2)) / F.lit(float(bottom))).alias("p")), []
+        else:
+            links = written(_links(parts, counted.filter("kind = 2"), n), "links")
+            kept = _kept(F.col("count"), discount[n])
+            sums = links.withColumn("kept", kept).join(probabilities, F.col("low") == F.col("key_below"))
+            sums = written(sums.groupBy("ctx").agg(F.sum("kept").alias("kept"), F.sum("p").alias("taken")), "sums")
+            contexts = below.join(sums, below.key == sums.ctx, "left").withColumn("full", F.col("kept") > F.col("followed") * (1 - 1e-12))
+            contexts = contexts.withColumn("total", F.col("followed") + F.coalesce(F.col("full").cast("int"), F.lit(0)))
+            left = F.when(F.col("full"), 1 / F.col("total")).otherwise(1 - F.col("kept") / F.col("total"))
+            contexts = contexts.select("key", "count", "total", F.coalesce(left / F.greatest(1 - F.col("taken"), F.lit(1e-300)), F.lit(1.0)).alias("backoff"))
+            contexts.write.option("compression", "zstd").parquet(f"{path}/ngrams/ord={n - 1}")
+            for x in (sums, *used):
+                drop(x)
+            used = [links, counted]
+            if n < order:
+                stored = spark.read.schema("key bigint, count bigint, total bigint, backoff double").parquet(f"{path}/ngrams/ord={n - 1}")
+                own = links.join(stored.filter("total > 0").select(F.col("key").alias("of"), "total"), F.col("ctx") == F.col("of"))
+                probabilities = written(own.select(F.col("key").alias("key_below"), (_kept(F.col("count"), discount[n]) / F.col("total")).alias("p")), "probabilities")
+                used.append(probabilities)
+        below = grams
+    below.select("key", "count", F.lit(0).cast("bigint").alias("total"), F.lit(1.0).alias("backoff")).write.option("compression", "zstd").parquet(f"{path}/ngrams/ord={order}")
+    summary = spark.createDataFrame([(n, numbers, occurrences, [float(x) for x in discount[n]]) for n, numbers, occurrences in rows], "ord int, numbers array<bigint>, occurrences bigint, discounts array<double>")
+    summary.coalesce(1).write.parquet(f"{path}/summary")
+    for x in used:
+        drop(x)
+    return read_model(spark, path)
+
+
+def read_model(spark: SparkSession, path: str) -> Model:
+    """A stored model."""
+    rows = sorted((r["ord"], list(r["numbers"]), r["occurrences"]) for r in spark.read.parquet(f"{path}/summary").collect())
+    discount, words, bottom, unknown = _summarised(spark, rows, len(rows[0][1]) - 1)
+    return Model(len(rows), spark.read.schema(_NGRAMS).parquet(f"{path}/ngrams"), words, bottom, unknown, discount, path)
+
+
+def _looked_up(parts: DataFrame, model: Model, n: int, buckets: int) -> DataFrame:
+    """By block and bucket what the model has of the block's n-grams: counts, and for the shorter orders totals and backoffs."""
+    schema = pa.schema([("ord", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+    last = n == model.order
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if left.num_rows:
-            block = unpack(left["data"][0].as_py())
-            at = np.minimum(np.searchsorted(slices, block[0]), len(slices) - 1)
-            hit = np.flatnonzero(slices[at] == block[0])
-            if len(hit):
-                sums = _sums(n, block, _heard(n, block, right, hot), stats)
-                rows = [(int(c), *(float(x) for x in sums[:, :, h].ravel())) for h, c in zip(hit, context[at[hit]])]
-        return pa.table([pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.float64()) for i in range(7)], names=["context", *(f"s{i}" for i in range(6))])
-
-    left = counts.filter(F.col("ord") == n).select("bucket", "data")
-    each = left.groupBy("bucket").cogroup(right.filter("kind = 2").groupBy("bucket")).applyInArrow(run, "context bigint, " + ", ".join(f"s{i} double" for i in range(6)))
-    values = np.zeros((2, 3, len(hot.of[n][0])))
-    for r in each.groupBy("context").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(6)]).collect():
-        values[:, :, r["context"]] = np.array(r[1:]).reshape(2, 3)
-    return slices, context, values
-
-
-def _level(counts: DataFrame, right: DataFrame, n: int, stats, hot: Hot) -> DataFrame:
-    """kind 2: answers to what was asked of order n (by asking bucket); kind 3: each part's share of its documents' scores."""
-    out_schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("other", pa.int32()), ("data", pa.binary())])
-    missing = _unknown(stats[1])
-    whole = _whole(counts, right, n, stats[n], hot) if n > 1 else None
+        have = right["key"].to_numpy().view(U64)
+        by = np.argsort(have)
+        have = have[by]
+        count, total, backoff = (right[c].to_numpy()[by] for c in ("count", "total", "backoff"))
+        out = []
+        for block, data in zip(left["block"].to_pylist(), left["data"].to_pylist()):
+            asked = _unpack_keys(*unpack(data))
+            at = np.minimum(np.searchsorted(have, asked), max(len(have) - 1, 0))
+            hit = have[at] == asked if len(have) else np.zeros(len(asked), bool)
+            own = np.zeros((2, len(asked)), np.int64)
+            alpha = np.ones(len(asked))
+            own[:, hit], alpha[hit] = (count[at[hit]], total[at[hit]]), backoff[at[hit]]
+            odd = alpha != 1
+            out.append((n, key[0].as_py(), block, pack(own[0]) if last else pack(own[0], own[1], np.packbits(odd), alpha[odd])))
+        return pa.table([pa.array([r[i] for r in out], t.type) for i, t in enumerate(schema)], schema=schema)
+
+    rows = model.ngrams.filter(F.col("ord") == n).select("key", "count", "total", "backoff", _bucket(F.col("key"), buckets).alias("bucket"))
+    return _sent(parts, n, buckets, False, True).groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, "ord int, bucket int, block bigint, data binary")
+
+
+def score(docs: DataFrame, model: Model, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    """doc_id, n_words, logprob (natural) and its mean by word, for every document."""
+    return score_blocks(word_blocks(docs), model, bucket_words)
+
+
+def score_blocks(parts: DataFrame, model: Model, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    spark = parts.sparkSession
+    buckets = -(-max(parts.agg(F.sum("words")).first()[0] or 0, model.words) // bucket_words) or 1
+    found = None
+    for n in range(1, model.order + 1):
+        own = written(_looked_up(parts, model, n, buckets), "found")
+        found = own if found is None else found.unionByName(own)
+    order, discount, bottom, unknown = model.order, model.discount, model.bottom, model.unknown
+    if bottom != model.words:  # single words keep all their mass
+        discount = [discount[0], *([np.r_[0.0, np.ones(len(discount[1]) - 1)]] if order else []), *discount[2:]]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        block = unpack(left["data"][0].as_py()) if left.num_rows else None
-        asked = [(o, unpack(d)) for k, o, d in zip(right["kind"].to_pylist(), right["other"].to_pylist(), right["data"].to_pylist()) if k == 1]
-        lower = None
-        bucket = key[0].as_py()
-        if block is not None and n > 1:
-            lower = _heard(n, block, right, hot)
-        if block is not None:
-            keys, words, p, _ = _block_probabilities(n, block, lower, stats[n], whole)
+        docs = left["docs"][0].values
+        n_words = docs.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        word, place = _words_of(left["data"][0].as_py(), n_words)
+        right = right.sort_by([("ord", "ascending"), ("bucket", "ascending")])
+        answers: dict[int, list] = {n: [] for n in range(1, order + 1)}
+        for n, data in zip(right["ord"].to_pylist(), right["data"].to_pylist()):
+            answers[n].append(unpack(data))
+        p = total = alpha = None
+        for n in range(1, order + 1):
+            grams = Grams(word, place, n)
+            if not len(grams.keys):
+                break
+            count = np.concatenate([a[0] for a in answers[n]])
+            kept = discount[n][np.minimum(count, len(discount[n]) - 1)] * count
+            here = np.flatnonzero(grams.of >= 0)
+            own = kept[grams.of[here]]
             if n == 1:
-                p = np.where(p > 0, p, np.array(missing)[:, None])
-            posts, where, times, sizes = block[6:10]
-            if len(where):
-                fold = where & 1
-                of_entry = np.repeat(np.arange(len(posts)), posts)
-                score = times * np.log(p[1 - fold, of_entry])  # by the other fold's counts
-                total = np.bincount(where >> 1, score, int(sizes.sum()))
-                ends = np.cumsum(sizes)
-                out += [(3, part, bucket, pack(total[e - s : e])) for part, s, e in zip(left["parts"][0].as_py(), sizes, ends)]
-            for o, (low, word) in asked:
-                low = mix(word) if n == 1 else low
-                # every entry asked about is in this block: a counted n-gram's ending was counted too
-                at = _find(keys, words, low, word)
-                out.append((2, o, bucket, pack(p[0][at], p[1][at])))
-        return pa.table([pa.array([r[i] for r in out], t.type) for i, t in enumerate(out_schema)], schema=out_schema)
-
-    left = counts.filter(F.col("ord") == n).select("bucket", "parts", "data")
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, "kind int, bucket bigint, other int, data binary")
-
-
-def _find(keys: np.ndarray, words: np.ndarray, key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Places of (key, word) among sorted (keys, words)."""
-    both = lambda k, w: mix(k * _ODD + w)
-    have = both(keys, words)
-    by = np.argsort(have)
-    return by[np.searchsorted(have, both(key, word), sorter=by)]
-
-
-def score(docs: DataFrame, order: int = ORDER, k: int = K, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_words, logprob (natural) and its mean by word, for every document."""
-    if order < 1:
-        raise ValueError("the order is at least 1")
-    counts, buckets, hot = count(docs, order, bucket_bytes)
-    stats = statistics(counts, order, k)
-    spark = docs.sparkSession
-    nothing = spark.createDataFrame([], "bucket int, other int, data binary, kind int")
-    heard, shares = nothing, None
-    for n in range(1, order + 1):
-        asked = _requests(counts, n + 1, buckets, hot) if n < order else nothing
-        out = written(_level(counts, heard.unionByName(asked), n, stats, hot), "level")
-        heard = out.filter("kind = 2").select(F.col("bucket").cast("int"), "other", "data", "kind")
-        own = out.filter("kind = 3").select(F.col("bucket").alias("part"), "data")
-        shares = own if shares is None else shares.unionByName(own)
-    listed = counts.filter("ord = 0").select(F.col("parts")[0].alias("part"), "docs")
-
-    def total(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        docs_ = pa.concat_arrays([c.flatten() for c in left["docs"].chunks]) if left.num_rows else pa.array([], left.schema.field("docs").type.value_type)
-        ids, n = docs_.field(0), docs_.field(1).to_numpy(zero_copy_only=False)
-        value = np.zeros(len(n))
-        for data in sorted(right["data"].to_pylist()):
-            value += unpack(data)[0]
-        none = n == 0
-        mean = value / np.maximum(n, 1)
-        return pa.table([ids, docs_.field(1), pa.array(value, mask=none), pa.array(mean, mask=none)], names=["doc_id", "n_words", "logprob", "mean_logprob"])
-
-    return listed.groupBy("part").cogroup(shares.groupBy("part")).applyInArrow(total, "doc_id bigint, n_words int, logprob double, mean_logprob double")
+                p = np.where(own > 0, own / bottom, unknown)
+            else:
+                # total and alpha stand at the last word of each context
+                p[here] = np.where(own > 0, own / np.maximum(total[here - 1], 1), alpha[here - 1] * p[here])
+            if n < order:
+                totals = np.concatenate([a[1] for a in answers[n]])
+                backoff = np.ones(len(totals))
+                odd = np.concatenate([np.unpackbits(a[2].astype(np.uint8), count=len(a[0])) for a in answers[n]]).astype(bool)
+                backoff[odd] = np.concatenate([a[3] for a in answers[n]])
+                total, alpha = np.ones(len(word), np.int64), np.ones(len(word))
+                total[here], alpha[here] = totals[grams.of[here]], backoff[grams.of[here]]
+        value = np.zeros(len(n_words))
+        some = n_words > 0
+        if some.any():
+            value[some] = np.add.reduceat(np.log(p), (np.cumsum(n_words) - n_words)[some])
+        mean = value / np.maximum(n_words, 1)
+        return pa.table([docs.field(0), docs.field(1), pa.array(value, mask=~some), pa.array(mean, mask=~some)], names=["doc_id", "n_words", "logprob", "mean_logprob"])
+
+    left = parts.select("block", "docs", "data").groupBy("block")
+    if found is None:
+        found = spark.createDataFrame([], "ord int, bucket int, block bigint, data binary")
+    return left.cogroup(found.groupBy("block")).applyInArrow(run, "doc_id bigint, n_words int, logprob double, mean_logprob double")
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score(table(spark, sf_dir, "documents"))
+    """Every document by the model of all documents."""
+    parts = word_blocks(table(spark, sf_dir, "documents"))
+    out = score_blocks(parts, fit_blocks(parts))
     return out.select("doc_id", "n_words", F.round("logprob", 4).alias("logprob"), F.round("mean_logprob", 6).alias("mean_logprob"))
 
 
-def _discounted(n: str) -> str:
+def _discounted(n: int) -> str:
     common = f"({K + 1} * n{K + 1}::DOUBLE / n1)"
     cases = " ".join(f"WHEN {r} THEN (({r + 1} * n{r + 1}::DOUBLE / n{r} / {r} - {common}) / (1 - {common}))" for r in range(1, K + 1))
-    return f"CASE WHEN c <= {K} THEN CASE c {cases} END ELSE 1 END" if n else ""
+    return f"SELECT *, CASE WHEN d > 0 AND d < 1 THEN d ELSE 1 END * c AS k FROM (SELECT *, CASE WHEN c <= {K} THEN CASE c {cases} END ELSE 1 END AS d FROM g{n}, (SELECT {_N} FROM g{n}))"
 
 
 _N = ", ".join(f"nullif(count(*) FILTER (c = {r}), 0) AS n{r}" if r <= K else f"count(*) FILTER (c = {r}) AS n{r}" for r in range(1, K + 2))
 
-#: The bigram model (ORDER 2), word by word.
+#: The trigram model, word by word.
 SQL = f"""
 WITH words AS MATERIALIZED (
-  SELECT doc_id, doc_id % 2147483648 * 40503 // 4096 % 2 AS fold, generate_subscripts(ws, 1) AS i, unnest(ws) AS w
+  SELECT doc_id, generate_subscripts(ws, 1) AS i, len(ws) AS n, unnest(ws) AS w
   FROM (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-zA-Z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents)
-), pairs AS MATERIALIZED (
-  SELECT fold, doc_id, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS h, w FROM words
-), uni AS (SELECT fold, w, count(*) AS c FROM words GROUP BY ALL),
-bi AS (SELECT fold, h, w, count(*) AS c FROM pairs WHERE h IS NOT NULL GROUP BY ALL),
-nu AS (SELECT fold, sum(c) AS t, {_N} FROM uni GROUP BY fold),
-nb AS (SELECT fold, {_N} FROM bi GROUP BY fold),
-du AS (SELECT fold, w, c, t, {_discounted("u")} AS d FROM uni JOIN nu USING (fold)),
-kept_u AS (SELECT fold, w, c, t, CASE WHEN d > 0 AND d < 1 THEN d ELSE 1 END * c AS k FROM du),
-mass AS (SELECT fold, any_value(t) AS t, sum(k) AS m, sum(k) > any_value(t) * (1 - 1e-12) AS whole FROM kept_u GROUP BY fold),
-p1 AS MATERIALIZED (SELECT fold, w, CASE WHEN whole THEN c / (mass.t + 1) ELSE k / mass.t END AS p FROM kept_u JOIN mass USING (fold)),
-unknown AS (SELECT fold, CASE WHEN whole THEN 1 / (t + 1) ELSE 1 - m / t END AS p FROM mass),
-db AS (SELECT fold, h, w, c, {_discounted("b")} AS d FROM bi JOIN nb USING (fold)),
-kept_b AS (SELECT fold, h, w, c, CASE WHEN d > 0 AND d < 1 THEN d ELSE 1 END * c AS k FROM db),
-ctx AS MATERIALIZED (
-  SELECT fold, h, sum(c) AS t, sum(k) AS m, sum(k) > sum(c) * (1 - 1e-12) AS whole, sum(p) AS taken
-  FROM kept_b JOIN p1 USING (fold, w) GROUP BY fold, h
-), scored AS (
-  SELECT a.doc_id, CASE
-    WHEN a.h IS NULL OR ctx.h IS NULL THEN coalesce(p1.p, unknown.p)
-    WHEN b.c IS NOT NULL THEN CASE WHEN whole THEN b.c / (ctx.t + 1) ELSE b.k / ctx.t END
-    ELSE (CASE WHEN whole THEN 1 / (ctx.t + 1) ELSE 1 - ctx.m / ctx.t END) / (1 - taken) * coalesce(p1.p, unknown.p) END AS p
-  FROM pairs a JOIN unknown ON unknown.fold = 1 - a.fold
-  LEFT JOIN kept_b b ON b.fold = 1 - a.fold AND b.h = a.h AND b.w = a.w
-  LEFT JOIN ctx ON ctx.fold = 1 - a.fold AND ctx.h = a.h
-  LEFT JOIN p1 ON p1.fold = 1 - a.fold AND p1.w = a.w
+), runs AS MATERIALIZED (
+  SELECT doc_id, n, i, lag(w, 2) OVER o AS u, lag(w) OVER o AS v, w FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), g1 AS (SELECT w, count(*) AS c, count(*) FILTER (i < n) AS f FROM runs GROUP BY ALL),
+g2 AS (SELECT v, w, count(*) AS c, count(*) FILTER (i < n) AS f FROM runs WHERE v IS NOT NULL GROUP BY ALL),
+g3 AS (SELECT u, v, w, count(*) AS c FROM runs WHERE u IS NOT NULL GROUP BY ALL),
+k1 AS ({_discounted(1)}), k2 AS ({_discounted(2)}), k3 AS ({_discounted(3)}),
+mass AS (SELECT sum(c) AS t, sum(k) AS m, sum(k) > sum(c) * (1 - 1e-12) AS whole FROM k1),
+p1 AS MATERIALIZED (SELECT w, f, CASE WHEN whole THEN c / (t + 1) ELSE k / t END AS p FROM k1, mass),
+s1 AS MATERIALIZED (
+  SELECT a.v, any_value(b.f) AS f, sum(k) > any_value(b.f) * (1 - 1e-12) AS whole, sum(k) AS m, sum(p1.p) AS taken
+  FROM k2 a JOIN p1 ON p1.w = a.w JOIN p1 b ON b.w = a.v WHERE a.c >= {LEAST} GROUP BY a.v
+), p2 AS MATERIALIZED (SELECT v, w, k2.f, k / (s1.f + whole::INT) AS p FROM k2 JOIN s1 USING (v) WHERE c >= {LEAST}),
+s2 AS MATERIALIZED (
+  SELECT a.u, a.v, any_value(b.f) AS f, sum(k) > any_value(b.f) * (1 - 1e-12) AS whole, sum(k) AS m, sum(p2.p) AS taken
+  FROM k3 a JOIN p2 ON p2.v = a.v AND p2.w = a.w JOIN p2 b ON b.v = a.u AND b.w = a.v WHERE a.c >= {LEAST} GROUP BY a.u, a.v
+), p3 AS MATERIALIZED (SELECT u, v, w, k / (s2.f + whole::INT) AS p FROM k3 JOIN s2 USING (u, v) WHERE c >= {LEAST}),
+a1 AS MATERIALIZED (SELECT v, CASE WHEN whole THEN 1 / (f + 1) ELSE 1 - m / f END / (1 - taken) AS a FROM s1),
+a2 AS MATERIALIZED (SELECT u, v, CASE WHEN whole THEN 1 / (f + 1) ELSE 1 - m / f END / (1 - taken) AS a FROM s2),
+scored AS (
+  SELECT doc_id, coalesce(p3.p, coalesce(a2.a, 1) * coalesce(p2.p, coalesce(a1.a, 1) * p1.p)) AS p
+  FROM runs x JOIN p1 ON p1.w = x.w
+  LEFT JOIN p2 ON p2.v = x.v AND p2.w = x.w LEFT JOIN p3 ON p3.u = x.u AND p3.v = x.v AND p3.w = x.w
+  LEFT JOIN a1 ON a1.v = x.v LEFT JOIN a2 ON a2.u = x.u AND a2.v = x.v
 ), sums AS (SELECT doc_id, count(*) AS n, sum(ln(p)) AS s FROM scored GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::INTEGER AS n_words, round(s, 4) AS logprob, round(s / n, 6) AS mean_logprob
 FROM documents LEFT JOIN sums USING (doc_id)
