@@ -38,9 +38,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm._text import U64, Words, blocks, flat, mix
-from loomtext.session import drop, scratch_path, table, written
+from loomtext.session import drop, drop_path, scratch_path, shuffles_freed, table, written
 
-ORDER, K, LEAST, FLUSH, BUCKET_WORDS = 3, 5, 2, 2_000_000, 2_000_000
+ORDER, K, LEAST, FLUSH, BUCKET_WORDS = 3, 5, 2, 1_200_000, 1_500_000
 _ODD = U64(0x9E3779B97F4A7C15)
 _ZSTD = pa.Codec("zstd", 1)
 _NGRAMS = "ord int, key bigint, count bigint, total bigint, backoff double"
@@ -131,8 +131,8 @@ class Grams:
         self.keys = key[by[entry]]
         self.counts = np.diff(np.r_[entry, len(by)])
         self.first = at[by[entry]]
-        self.of = np.full(len(word), -1, np.int64)
-        self.of[at[by]] = np.repeat(np.arange(len(entry)), self.counts)
+        self.of = np.full(len(word), -1, np.int32)
+        self.of[at[by]] = np.repeat(np.arange(len(entry), dtype=np.int32), self.counts)
 
     def cuts(self, buckets: int) -> list[tuple[int, int, int]]:
         """Bucket, begin and end of each bucket's keys."""
@@ -175,7 +175,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             raw, off = flat(batch.column(1))
-            for i, j in blocks(off, 2_000_000):
+            for i, j in blocks(off, 1_000_000):
                 words = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 held.append((words.hash >> U64(16), words.counts, batch.column(0).slice(i, j - i)))
                 size += len(words.hash)
@@ -226,10 +226,10 @@ def _sent(parts: DataFrame, n: int, buckets: int, count: bool, last: bool) -> Da
 
 
 def _counted(parts: DataFrame, n: int, order: int, least: int, k: int, buckets: int) -> DataFrame:
-    """Written rows of three kinds: 0 statistics, 1 the n-grams of the model by bucket, 2 what each block is to hand on.
+    """Written rows of three kinds: 0 statistics, 1 the n-grams of the model by bucket, 2 answers to the blocks.
 
-    A block's answer has, for each n-gram it sent, the count over all documents if the n-gram is in the model and no block
-    with a smaller number sent it, else 0.
+    An answer has, for each n-gram that was sent, the count over all documents if the n-gram is in the model, else 0; and bits for
+    those in the model that no block with a smaller number sent.
     """
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("key", pa.list_(pa.int64())), ("count", pa.list_(pa.int64())), ("followed", pa.list_(pa.int64())), ("data", pa.binary())])
 
@@ -248,35 +248,38 @@ def _counted(parts: DataFrame, n: int, order: int, least: int, k: int, buckets:
         kept = np.flatnonzero(count >= least)
         out = [(0, bucket, None, None, stats, None, None), (1, bucket, None, every[by[entry[kept]]].view(np.int64), count[kept], followed[kept], None)]
         if n > 1:
-            answer = np.zeros(len(every), np.int64)
-            answer[by[entry[kept]]] = count[kept]
+            answer, first = np.empty(len(every), np.int64), np.zeros(len(every), bool)
+            answer[by] = np.repeat(np.where(count >= least, count, 0), np.diff(np.r_[entry, len(by)]))
+            first[by[entry[kept]]] = True
             ends = np.cumsum(sizes)
-            out += [(2, bucket, b, None, None, None, pack(answer[e - s : e])) for b, s, e in zip(numbers, sizes, ends)]
+            out += [(2, bucket, b, None, None, None, pack(answer[e - s : e], np.packbits(first[e - s : e]))) for b, s, e in zip(numbers, sizes, ends)]
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     kind = "kind int, bucket int, block bigint, key array<bigint>, count array<bigint>, followed array<bigint>, data binary"
     return written(_sent(parts, n, buckets, True, n == order).groupBy("bucket").applyInArrow(merged, kind), "counts", "kind")
 
 
-def _links(parts: DataFrame, answers: DataFrame, n: int) -> DataFrame:
-    """key, ctx, low and count of every n-gram of the model, once: itself, its context, and itself without its first word."""
-    names = ["key", "ctx", "low", "count"]
+def _links(parts: DataFrame, answers: DataFrame, n: int, last: bool) -> DataFrame:
+    """ctx, low, count and (unless ``last``) key of every n-gram of the model, once: its context, itself without its first word, itself."""
+    names = ["ctx", "low", "count", *["key"] * (not last)]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 4, names=names)
+            return pa.table([pa.array([], pa.int64())] * len(names), names=names)
         word, place = _words_of(left["data"][0].as_py(), _counts_of(left["docs"][0]))
         grams = Grams(word, place, n)
         right = right.sort_by("bucket")
-        count = np.concatenate([unpack(d)[0] for d in right["data"].to_pylist()])
-        own = np.flatnonzero(count)
+        answers = [unpack(d) for d in right["data"].to_pylist()]
+        count = np.concatenate([a[0] for a in answers])
+        own = np.flatnonzero(np.concatenate([np.unpackbits(a[1].astype(np.uint8), count=len(a[0])) for a in answers]))
         key_, at = _ngrams(word, place, n - 1)
         shorter = np.zeros(len(word), U64)
         shorter[at] = key_
         end = grams.first[own]
-        return pa.table([pa.array(x.view(np.int64)) for x in (grams.keys[own], shorter[end - 1], shorter[end], count[own])], names=names)
+        columns = [shorter[end - 1], shorter[end], count[own], *[grams.keys[own]] * (not last)]
+        return pa.table([pa.array(x.view(np.int64)) for x in columns], names=names)
 
-    return parts.select("block", "docs", "data").groupBy("block").cogroup(answers.select("block", "bucket", "data").groupBy("block")).applyInArrow(run, "key bigint, ctx bigint, low bigint, count bigint")
+    return parts.select("block", "docs", "data").groupBy("block").cogroup(answers.select("block", "bucket", "data").groupBy("block")).applyInArrow(run, ", ".join(f"{x} bigint" for x in names))
 
 
 def discounts(n: list[int], k: int = K) -> list[float]:
@@ -328,13 +331,15 @@ def _kept(count: Column, discount: np.ndarray) -> Column:
 def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST, k: int = K, bucket_words: int = BUCKET_WORDS) -> Model:
     """A model of all documents (doc_id, text), stored in the shared folder."""
     parts = word_blocks(docs)
-    model = fit_blocks(parts, order, least, k, bucket_words)
+    model, answers = fit_blocks(parts, order, least, k, bucket_words)
     drop(parts)
+    if answers is not None:
+        drop(answers)
     return model
 
 
-def fit_blocks(parts: DataFrame, order: int = ORDER, least: int = LEAST, k: int = K, bucket_words: int = BUCKET_WORDS) -> Model:
-    """The model of documents that are already in blocks."""
+def fit_blocks(parts: DataFrame, order: int = ORDER, least: int = LEAST, k: int = K, bucket_words: int = BUCKET_WORDS) -> tuple[Model, DataFrame | None]:
+    """The model of documents that are already in blocks, and what it answers the blocks at its highest order (if above 1)."""
     if order < 1 or least < 1:
         raise ValueError("order and least are at least 1")
     spark = parts.sparkSession
@@ -342,42 +347,45 @@ def fit_blocks(parts: DataFrame, order: int = ORDER, least: int = LEAST, k: int
     buckets = -(-total // bucket_words) or 1
     path = scratch_path(spark, "katz")
     rows: list[tuple[int, list[int], int]] = []
-    below = discount = None  # what is known of order n - 1: its n-grams, and their probabilities
+    below = lower = grams = None  # of order n - 1: the written counts, and key_below, count_below and bottom (what the count is divided by)
     for n in range(1, order + 1):
         counted = _counted(parts, n, order, least if n > 1 else 1, k, buckets)
         numbers = [0] * (k + 2)
         for i, x in counted.filter("kind = 0").select(F.posexplode("count").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
             numbers[i] = x
         rows.append((n, numbers[:-1], numbers[-1]))
-        discount, _, bottom, _ = _summarised(spark, rows, k)
-        grams = counted.filter("kind = 1").select(F.explode(F.arrays_zip("key", "count", "followed")).alias("g")).select("g.*")
+        discount, words, bottom, _ = _summarised(spark, rows, k)
+        if bottom != words and words:
+            discount[1] = np.r_[0.0, np.ones(k + 1)]  # single words keep all their mass
+        shorter, grams = grams, counted.filter("kind = 1").select(F.explode(F.arrays_zip("key", "count", "followed")).alias("g")).select("g.*")
         if n == 1:
-            probabilities, used = grams.select(F.col("key").alias("key_below"), (_kept(F.col("count"), discount[1] if bottom == numbers[-1] else np.ones(k + 2)) / F.lit(float(bottom))).alias("p")), []
+            lower = grams.select(F.col("key").alias("key_below"), F.col("count").alias("count_below"), F.lit(bottom).cast("bigint").alias("bottom"))
         else:
-            links = written(_links(parts, counted.filter("kind = 2"), n), "links")
-            kept = _kept(F.col("count"), discount[n])
-            sums = links.withColumn("kept", kept).join(probabilities, F.col("low") == F.col("key_below"))
+            links = written(_links(parts, counted.filter("kind = 2"), n, n == order), "links")
+            p = _kept(F.col("count_below"), discount[n - 1]) / F.col("bottom")
+            sums = links.select("ctx", "low", _kept(F.col("count"), discount[n]).alias("kept")).join(lower, F.col("low") == F.col("key_below")).select("ctx", "kept", p.alias("p"))
             sums = written(sums.groupBy("ctx").agg(F.sum("kept").alias("kept"), F.sum("p").alias("taken")), "sums")
-            contexts = below.join(sums, below.key == sums.ctx, "left").withColumn("full", F.col("kept") > F.col("followed") * (1 - 1e-12))
+            if n > 2:
+                drop(lower)
+            contexts = shorter.join(sums, shorter.key == sums.ctx, "left").withColumn("full", F.col("kept") > F.col("followed") * (1 - 1e-12))
             contexts = contexts.withColumn("total", F.col("followed") + F.coalesce(F.col("full").cast("int"), F.lit(0)))
             left = F.when(F.col("full"), 1 / F.col("total")).otherwise(1 - F.col("kept") / F.col("total"))
             contexts = contexts.select("key", "count", "total", F.coalesce(left / F.greatest(1 - F.col("taken"), F.lit(1e-300)), F.lit(1.0)).alias("backoff"))
-            contexts.write.option("compression", "zstd").parquet(f"{path}/ngrams/ord={n - 1}")
-            for x in (sums, *used):
-                drop(x)
-            used = [links, counted]
+            with shuffles_freed(spark):
+                contexts.write.option("compression", "zstd").parquet(f"{path}/ngrams/ord={n - 1}")
+            drop(sums)
+            drop(below)
             if n < order:
                 stored = spark.read.schema("key bigint, count bigint, total bigint, backoff double").parquet(f"{path}/ngrams/ord={n - 1}")
-                own = links.join(stored.filter("total > 0").select(F.col("key").alias("of"), "total"), F.col("ctx") == F.col("of"))
-                probabilities = written(own.select(F.col("key").alias("key_below"), (_kept(F.col("count"), discount[n]) / F.col("total")).alias("p")), "probabilities")
-                used.append(probabilities)
-        below = grams
-    below.select("key", "count", F.lit(0).cast("bigint").alias("total"), F.lit(1.0).alias("backoff")).write.option("compression", "zstd").parquet(f"{path}/ngrams/ord={order}")
+                stored = stored.filter("total > 0").select(F.col("key").alias("of"), F.col("total").alias("bottom"))
+                own = links.join(stored, F.col("ctx") == F.col("of"))
+                lower = written(own.select(F.col("key").alias("key_below"), F.col("count").alias("count_below"), "bottom"), "lower")
+            drop(links)
+        below = counted
+    grams.select("key", "count", F.lit(0).cast("bigint").alias("total"), F.lit(1.0).alias("backoff")).write.option("compression", "zstd").parquet(f"{path}/ngrams/ord={order}")
     summary = spark.createDataFrame([(n, numbers, occurrences, [float(x) for x in discount[n]]) for n, numbers, occurrences in rows], "ord int, numbers array<bigint>, occurrences bigint, discounts array<double>")
     summary.coalesce(1).write.parquet(f"{path}/summary")
-    for x in used:
-        drop(x)
-    return read_model(spark, path)
+    return read_model(spark, path), below if order > 1 else None
 
 
 def read_model(spark: SparkSession, path: str) -> Model:
@@ -406,7 +414,7 @@ def _looked_up(parts: DataFrame, model: Model, n: int, buckets: int) -> DataFram
             alpha = np.ones(len(asked))
             own[:, hit], alpha[hit] = (count[at[hit]], total[at[hit]]), backoff[at[hit]]
             odd = alpha != 1
-            out.append((n, key[0].as_py(), block, pack(own[0]) if last else pack(own[0], own[1], np.packbits(odd), alpha[odd])))
+            out.append((n, key[0].as_py(), block, pack(own[0]) if last else pack(own[0], own[0] + 1 - own[1], np.packbits(odd), alpha[odd])))
         return pa.table([pa.array([r[i] for r in out], t.type) for i, t in enumerate(schema)], schema=schema)
 
     rows = model.ngrams.filter(F.col("ord") == n).select("key", "count", "total", "backoff", _bucket(F.col("key"), buckets).alias("bucket"))
@@ -415,14 +423,15 @@ def _looked_up(parts: DataFrame, model: Model, n: int, buckets: int) -> DataFram
 
 def score(docs: DataFrame, model: Model, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """doc_id, n_words, logprob (natural) and its mean by word, for every document."""
-    return score_blocks(word_blocks(docs), model, bucket_words)
+    return score_blocks(word_blocks(docs), model, None, bucket_words)
 
 
-def score_blocks(parts: DataFrame, model: Model, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def score_blocks(parts: DataFrame, model: Model, answers: DataFrame | None = None, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    """The scores of documents in blocks; ``answers`` are those of :func:`fit_blocks` if the model was fitted on the same blocks."""
     spark = parts.sparkSession
     buckets = -(-max(parts.agg(F.sum("words")).first()[0] or 0, model.words) // bucket_words) or 1
-    found = None
-    for n in range(1, model.order + 1):
+    found = None if answers is None else answers.filter("kind = 2").select(F.lit(model.order).alias("ord"), "bucket", "block", "data")
+    for n in range(1, model.order + (answers is None)):
         own = written(_looked_up(parts, model, n, buckets), "found")
         found = own if found is None else found.unionByName(own)
     order, discount, bottom, unknown = model.order, model.discount, model.bottom, model.unknown
@@ -452,7 +461,7 @@ def score_blocks(parts: DataFrame, model: Model, bucket_words: int = BUCKET_WORD
                 # total and alpha stand at the last word of each context
                 p[here] = np.where(own > 0, own / np.maximum(total[here - 1], 1), alpha[here - 1] * p[here])
             if n < order:
-                totals = np.concatenate([a[1] for a in answers[n]])
+                totals = count + 1 - np.concatenate([a[1] for a in answers[n]])
                 backoff = np.ones(len(totals))
                 odd = np.concatenate([np.unpackbits(a[2].astype(np.uint8), count=len(a[0])) for a in answers[n]]).astype(bool)
                 backoff[odd] = np.concatenate([a[3] for a in answers[n]])
@@ -474,7 +483,9 @@ def score_blocks(parts: DataFrame, model: Model, bucket_words: int = BUCKET_WORD
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by the model of all documents."""
     parts = word_blocks(table(spark, sf_dir, "documents"))
-    out = score_blocks(parts, fit_blocks(parts))
+    model, answers = fit_blocks(parts)
+    out = score_blocks(parts, model, answers)
+    drop_path(spark, model.path)  # what the scores need of it has been looked up
     return out.select("doc_id", "n_words", F.round("logprob", 4).alias("logprob"), F.round("mean_logprob", 6).alias("mean_logprob"))
 
 
