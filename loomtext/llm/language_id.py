@@ -4,15 +4,16 @@ Features are the 2-, 3- and 4-byte runs of the lowered words of a text, word bou
 into BUCKETS. A text's embedding is the mean of its features' embeddings, its scores a linear map of
 that; both are fitted by stochastic gradient descent on labelled documents. A fifth of these is held
 out to fit a temperature (so that confidences are probabilities) and two rejection levels: the confidence
-from which held-out texts are right PRECISION of the time, and the share of features known from
-training under which a text is in no language of the model.
+from which held-out texts are right PRECISION of the time (or as often as any level reaches), and the share of features known
+from training that lies midway between what held-out texts have and what the same texts have with their letters
+shuffled, which are in no language.
 
 Training reads at most about PER_LABEL documents of each label, whole, chosen by a hash of the id; this bound is
 the only sample, every document is scored on its whole text.
 
 Defined results: a null or empty text, or one without a letter, is rejected with lang and confidence
 null. Labels with fewer than LEAST documents are not learnt; if fewer than one label is left every document
-is rejected; with one, only the share of known features decides. Repeated rows and null ids are scored
+is rejected; with one, only the share of known features decides. Of labels that score alike the first by name wins. Repeated rows and null ids are scored
 like any other. Other columns are not read.
 """
 
@@ -201,11 +202,12 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray, rng: np.random.Gen
     top, right = p.max(axis=1), p.argmax(axis=1) == target
     order = np.argsort(-top, kind="stable")
     precision = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(precision >= PRECISION)
-    # with nothing to tell apart every held-out text may stay; the level never lies above what whole texts reach
-    level = float(top[order][good[-1]]) if len(good) else 1.0
-    model.confidence = min(level, float(np.quantile(top[: int(whole.sum())], 0.001))) if len(model.labels) > 1 else 0.0
-    model.share = 0.6 * float(np.quantile(share, 0.01)) if len(share) else 0.0
+    good = np.flatnonzero(precision >= min(PRECISION, precision.max()))
+    model.confidence = float(top[order][good[-1]]) if len(model.labels) > 1 else 0.0
+    if len(share):
+        _, shuffled, n = _sums(model, *_pack(["".join(rng.permutation(list(t))) for t in texts]))
+        none, real = np.quantile((shuffled / np.maximum(n, 1))[n > 0], 0.99) if n.any() else 0.0, np.quantile(share, 0.001)
+        model.share = float((none + real) / 2 if none < real else real)
 
 
 def fit(docs: DataFrame, per_label: int = PER_LABEL) -> Model:

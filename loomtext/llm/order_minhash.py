@@ -6,17 +6,18 @@ functions the PICK labelled runs with the smallest hashes are taken and kept in
 that agree on such a tuple are candidates. Because order and occurrence count, agreement follows edit
 similarity, not mere overlap.
 
-Equal word sequences are folded into their smallest id first, so that a passage copied a million times
+Equal word sequences are folded into one node first, so that a passage copied a million times
 is one node. Within a bucket of the others every member is aligned with the bucket's leader (the
-smallest id under a hash that differs by band); those that fail are led by one of themselves in the next
+smallest node under a hash that differs by band); those that fail are led by one of themselves in the next
 round. After ROUNDS rounds the pairs of each bucket that are not connected yet, passed or failed, are
-compared one by one. So nothing is capped, and a bucket of n copies near to their leader costs n alignments.
+compared one by one if their lengths allow them to be near. So nothing is capped, and a bucket of n copies near to their leader costs n alignments.
 Accepted pairs have 1 - distance / longer length >= SIMILARITY,
 the distance counting inserted, deleted and replaced words. Groups are the connected components.
 
 Defined results: a null or wordless text and a null id belong to no group. With fewer than K words the
-whole text is the one run; with fewer than PICK runs all are taken. Rows that repeat an id: the id's
-smallest text stands for it. Other columns are not read.
+whole text is the one run; with fewer than PICK runs all are taken. Every row is a document of its own, also where rows repeat
+an id or a whole row; group_id is the group's smallest id, and the one row that is kept has it (of several, the one whose
+words have the smallest digest). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,18 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from loomtext.llm._components import components
 from loomtext.llm._fit import small
 from loomtext.llm._text import U64, Words, blocks, flat, mix, signed
 from loomtext.session import table, written
 
-#: Runs of two words and 32 bands: a pair at just SIMILARITY with scattered replacements shares a bucket with chance 1 - (1 - (0.49 / 1.51)^2)^32 = 0.97.
-K, PICK, BANDS, SIMILARITY, ROUNDS = 2, 2, 32, 0.7, 3
-
-_SKETCH = T.StructType([T.StructField("id", T.LongType()), T.StructField("whole", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+#: Runs of three words and 72 bands: a pair at just SIMILARITY with scattered replacements shares a bucket with chance 1 - (1 - (0.343 / 1.657)^2)^72 = 0.96,
+#: while unlike texts seldom do, so buckets don't grow with the corpus.
+K, PICK, BANDS, SIMILARITY, ROUNDS = 3, 2, 72, 0.7, 3
 
 
 def _labelled(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +92,13 @@ def sketch(words: Words, k: int = K, pick: int = PICK, bands: int = BANDS) -> tu
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """id, a digest of the whole word sequence, its length, and the band keys."""
-    schema = pa.schema([("id", pa.int64()), ("whole", pa.string()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    """``docs`` (id, text_hash, text) that have words: a digest of the whole word sequence, the band keys, and the words as 32-bit hashes."""
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("whole", pa.string()), ("bands", pa.list_(pa.int64())), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = flat(batch.column(1))
-            for i, j in blocks(off):
+            raw, off = flat(batch.column(2))
+            for i, j in blocks(off, 2_000_000):
                 words = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 rows, keys = sketch(words)
                 if not len(rows):
@@ -110,10 +108,12 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 pair = [np.add.reduceat(mix(words.hash ^ mix(place + U64(s))), begin) for s in (1, 1 << 40)]
                 whole = [f"{a:016x}{b:016x}" for a, b in zip(*pair)]
                 flat_keys = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                ids = batch.column(0).slice(i, j - i).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(whole), pa.array(words.counts[rows].astype(np.int32)), flat_keys], schema=schema)
+                short = (words.hash >> U64(32)).astype(np.uint32)
+                lists = pa.array([short[a:b].tobytes() for a, b in zip(begin, begin + words.counts[rows])], pa.binary())
+                own = [batch.column(c).slice(i, j - i).take(pa.array(rows)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(whole), flat_keys, lists], schema=schema)
 
-    return docs.mapInArrow(run, _SKETCH)
+    return docs.select("id", "text_hash", "text").mapInArrow(run, "id bigint, text_hash bigint, whole string, bands array<bigint>, words binary")
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
@@ -184,22 +184,6 @@ def _foreign(a: list, b: list) -> int:
     return len(a) - sum(map(set(b).__contains__, a))
 
 
-def _word_lists(docs: DataFrame) -> DataFrame:
-    """id and the word sequence as 32-bit hashes."""
-    schema = pa.schema([("id", pa.int64()), ("words", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = flat(batch.column(1))
-            for i, j in blocks(off):
-                words = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                short = (words.hash >> U64(32)).astype(np.uint32)
-                own = [short[words.first[d] : words.first[d + 1]].tobytes() for d in range(words.n_docs)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.binary())], schema=schema)
-
-    return docs.mapInArrow(run, "id bigint, words binary")
-
-
 def _aligned(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """pairs (a, b) with whether their alignment is close enough, and its distance."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_()), ("similarity", pa.float64())])
@@ -228,33 +212,36 @@ def _apart(members: DataFrame, edges: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket that ``edges`` don't connect and whose lengths allow them to be near."""
     roots = components(edges).select(F.col("node").alias("id"), "root")
     lengths = words.select("id", (F.length("words") / 4).cast("int").alias("n"))
-    known = members.join(roots, "id", "left").join(lengths, "id").select("band", "key", "id", "n", F.coalesce("root", "id").alias("root"))
-    bucket = W.partitionBy("band", "key")
-    known = known.withColumn("size", F.count("*").over(W.partitionBy("band", "key", "root"))).withColumn("main", F.max(F.struct("size", "root")).over(bucket)["root"])
-    known = written(known.withColumn("split", F.min("root").over(bucket) != F.max("root").over(bucket)).filter("split").drop("split", "size"), "known")
+    known = written(members.join(roots, "id", "left").join(lengths, "id").select("band", "key", "id", "n", F.coalesce("root", "id").alias("root")), "known")
     # the largest component of a bucket meets the others, never itself
-    x, y = known.filter("root != main").alias("x"), known.alias("y")
+    parts = known.groupBy("band", "key", "root").count().groupBy("band", "key").agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
+    split = known.join(parts.filter("parts > 1").select("band", "key", F.col("main.root").alias("main")), ["band", "key"])
+    x, y = split.filter("root != main").alias("x"), split.alias("y")
     longer = F.greatest("x.n", "y.n")
     near = F.abs(F.col("x.n") - F.col("y.n")) <= F.floor((1 - SIMILARITY) * longer + 1e-9)
     on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & F.expr("x.root != y.root AND (y.root = y.main OR x.id > y.id)") & near
     return x.join(y, on).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
-def _edges(members: DataFrame, words: DataFrame) -> DataFrame | None:
-    """Verified pairs of the buckets; see the module's text."""
-    bucket = W.partitionBy("band", "key")
-    every, found, tried = members, None, None
+def _led(members: DataFrame) -> DataFrame:
+    """``members`` (band, key, id) of buckets of two and more, with their leaders."""
+    leaders = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "band"), "id"))["id"].alias("leader"))
+    return members.join(leaders.filter("size > 1").drop("size"), ["band", "key"])
+
+
+def _edges(members: DataFrame, words: DataFrame) -> DataFrame:
+    """Verified pairs of the buckets (band, key, id, leader); see the module's text."""
+    every, found, tried = members.select("band", "key", "id"), None, None
     for _ in range(ROUNDS):
-        led = members.withColumn("leader", F.min(F.struct(F.xxhash64("id", "band"), "id")).over(bucket)["id"]).filter("id != leader")
-        led = written(led.withColumns({"a": F.greatest("id", "leader"), "b": F.least("id", "leader")}), "led")
+        led = members.filter("id != leader").withColumns({"a": F.greatest("id", "leader"), "b": F.least("id", "leader")})
         seen = written(_aligned(led.select("a", "b").distinct(), words), "aligned")
         good, far = seen.filter("near").select("a", "b", "similarity"), seen.filter("NOT near").select("a", "b")
         found = good if found is None else found.union(good)
         tried = far if tried is None else tried.union(far)
-        failed = led.join(far, ["a", "b"], "left_semi").select("band", "key", "id")
+        failed = written(led.join(far, ["a", "b"], "left_semi").select("band", "key", "id"), "failed")
         if failed.isEmpty():
             return found
-        members = written(failed.withColumn("size", F.count("*").over(bucket)).filter("size > 1").drop("size"), "members")
+        members = written(_led(failed), "members")
         if members.isEmpty():
             break
     rest = _apart(every, found, words).join(tried, ["a", "b"], "left_anti")
@@ -262,44 +249,44 @@ def _edges(members: DataFrame, words: DataFrame) -> DataFrame | None:
     return found.union(last.filter("near").select("a", "b", "similarity"))
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """Of every row that has a near or exact copy: doc_id, text_hash, group_id and keep."""
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.lower(text).alias("text")).filter("id IS NOT NULL AND text != ''")
+    rows = written(_sketches(source).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    firsts = written(rows.groupBy("whole").agg(F.min("row").alias("node")), "firsts")
+    nodes = rows.select("row", "bands").join(firsts.select(F.col("node").alias("row")), "row", "left_semi")
+    members = written(_led(nodes.select(F.col("row").alias("id"), F.posexplode("bands").alias("band", "key"))), "members")
+    wanted = members.select(F.col("id").alias("row")).distinct()
+    words = written(rows.select("row", "words").join(small(written(wanted, "wanted")), "row", "left_semi").withColumnRenamed("row", "id"), "words")
+    roots = components(_edges(members, words))
+    every = rows.select("row", "id", "text_hash", "whole").join(firsts, "whole").join(roots, "node", "left")
+    every = written(every.select("row", "id", "text_hash", "whole", F.coalesce("root", "node").alias("group")), "grouped")
+    heads = every.groupBy("group").agg(F.count("*").alias("size"), F.min(F.struct("id", "whole", "row")).alias("head")).filter("size > 1")
+    return every.join(heads, "group").select(F.col("id").alias("doc_id"), "text_hash", F.col("head.id").alias("group_id"), (F.col("row") == F.col("head.row")).alias("keep"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id (the group's smallest id) and keep, for every document that has a near or exact copy."""
-    source = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.lower(F.col("text").cast("string")).alias("text")).filter("id IS NOT NULL AND text != ''")
-    rows = _sketches(source).groupBy("id").agg(F.min(F.struct("whole", "n", "bands")).alias("s")).select("id", "s.*")
-    folded = written(rows.withColumn("node", F.min("id").over(W.partitionBy("whole"))), "sketches")
-    nodes = folded.filter("id = node")
-    bucket = W.partitionBy("band", "key")
-    members = nodes.select("id", F.posexplode("bands").alias("band", "key")).withColumn("size", F.count("*").over(bucket)).filter("size > 1").drop("size")
-    members = written(members, "members")
-    wanted = written(members.select("id").distinct().join(folded.select("id", "whole"), "id"), "wanted")
-    # an id that comes with several texts is represented by the one whose digest was kept
-    involved = source.join(small(wanted.select("id")), "id", "left_semi").select("id", "text").dropDuplicates(["id", "text"])
-    repeated = source.groupBy("id").count().filter("count > 1").select("id")
-    repeated = wanted.join(repeated, "id", "left_semi")
-    words = _word_lists(involved)
-    if not repeated.isEmpty():
-        digest = _sketches(involved).select("id", "whole")
-        kept = involved.join(digest.join(wanted, ["id", "whole"], "left_semi"), "id")
-        words = _word_lists(kept.select("id", "text")).dropDuplicates(["id"])
-    words = written(words, "words")
-    edges = _edges(members, words)
-    roots = components(edges)
-    root = F.coalesce("root", "node").alias("group_id")
-    all_rows = folded.select("id", "node").join(roots, "node", "left").select(F.col("id").alias("doc_id"), root)
-    counted = all_rows.withColumn("size", F.count("*").over(W.partitionBy("group_id"))).filter("size > 1")
-    return counted.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    """doc_id, group_id (the group's smallest id) and keep, for every row that has a near or exact copy."""
+    return _grouped(docs).select("doc_id", "group_id", "keep")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group; rows without an id stay, a repeated id stays once."""
-    dropped = written(groups(docs).filter("NOT keep").select("doc_id"), "dropped")
-    left = docs.join(small(dropped), "doc_id", "left_anti").select(docs.columns)
-    again = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    again = written(again, "again")
+    """``docs`` with one row of each group; rows without an id or words stay.
+
+    Of rows that repeat both id and text, and differ in other columns, the one whose JSON comes first stays.
+    """
+    cases = written(_grouped(docs), "cases").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
+    cases = written(cases, "cases")
+    gone = small(cases.filter("NOT keep OR n > 1").select("__id", "__text"))
+    same = lambda side: (docs["doc_id"].cast("bigint") == side["__id"]) & (F.xxhash64(docs["text"].cast("string")) == side["__text"])
+    left = docs.join(gone, same(gone), "left_anti")
+    again = small(cases.filter("keep AND n > 1").select("__id", "__text"))
     if again.isEmpty():
         return left
-    once = left.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return left.join(small(again), "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    once = docs.join(again, same(again)).select(again["__id"], again["__text"], F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    once = once.groupBy("__id", "__text").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.unionByName(once.select("row.*"))
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,12 @@ def test_held_out_accuracy_and_rejection(spark, docs):
     foreign = ["Съешь же ещё этих мягких французских булок, да выпей чаю. " * 5, "敏捷的棕色狐狸跳过了懒狗" * 20, "0101 $$$ 7788 %%% " * 30, "zqxjkv wvxqzj kkqzzx jjxqvv " * 20]
     odd = li.identify(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), model)
     assert not any(r.accepted for r in odd.collect())
+    rng = np.random.default_rng(2)
+    shuffled = ["".join(rng.permutation(list(t[:600]))) for t in clean.text[:60]]
+    invented = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 8)) for _ in range(50)) for _ in range(60)]
+    for junk in (shuffled, invented):
+        odd = li.identify(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), model)
+        assert odd.filter("accepted").count() <= 3
 
 
 def test_scores_are_the_definition():

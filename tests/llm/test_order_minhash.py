@@ -57,6 +57,10 @@ def test_sketch_is_the_definition():
     assert (o.sketch(Words(raw, off))[1][0] != keys[0]).any()
 
 
+def word_lists(docs):
+    return o._sketches(docs.selectExpr("id", "0L AS text_hash", "text")).select("id", "words")
+
+
 def corpus(seed=3):
     rng = random.Random(seed)
     vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(3000)]
@@ -102,10 +106,13 @@ def test_hard_rows(spark):
     rows += [(6, long, "d"), (7, long + " tail", "e"), (8, "alone in the world of words", "f"), (9, "hi", "g"), (10, "hi", "g"), (11, "twice named text of some length", "g"), (11, "twice named text of some length", "g"), (11, "other text under that same name", "h")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, band string")
     got = {(r.doc_id, r.group_id, r.keep) for r in o.groups(docs).collect()}
-    assert got == {(1, 1, True), (2, 1, False), (6, 6, True), (7, 6, False), (9, 9, True), (10, 9, False)}
+    assert got == {(1, 1, True), (2, 1, False), (6, 6, True), (7, 6, False), (9, 9, True), (10, 9, False), (11, 11, True), (11, 11, False)}
     kept = o.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8, 9, 11]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8, 9, 11, 11]
+    assert {r.text for r in kept.filter("doc_id = 11").collect()} == {rows[11][1], rows[13][1]}
+    other = spark.createDataFrame([(1, "the same words", "b"), (1, "the same words", "a"), (1, "the same words", None)], "doc_id long, text string, __id string")
+    assert [r["__id"] for r in o.keep_one(other).collect()] == ["a"]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert o.groups(empty).count() == 0 and o.keep_one(empty).count() == 0
 
@@ -115,7 +122,7 @@ def test_a_bucket_whose_leader_is_unlike_the_rest(spark):
     a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"
     docs = spark.createDataFrame([(1, a), (2, b), (3, b + " nine"), (4, a + " iota"), (5, "nothing like it at all")], "id long, text string")
     members = spark.createDataFrame([(0, 7, i) for i in range(1, 6)], "band int, key long, id long")
-    found = {(r.a, r.b) for r in o._edges(members, o._word_lists(docs)).collect()}
+    found = {(r.a, r.b) for r in o._edges(o._led(members), word_lists(docs)).collect()}
     assert found == {(3, 2), (4, 1)}
 
 
@@ -134,7 +141,7 @@ def test_copies_that_are_near_only_to_their_original(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
     for key in range(3):  # one bucket under several bands, so with several leaders
         members = spark.createDataFrame([(key, 7, i) for i in range(13)], "band int, key long, id long")
-        found = {(r.a, r.b) for r in o._edges(members, o._word_lists(docs)).collect()}
+        found = {(r.a, r.b) for r in o._edges(o._led(members), word_lists(docs)).collect()}
         assert found == {(i, 0) for i in range(1, 13)}
 
 
