@@ -102,11 +102,6 @@ def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def _bucket(key: Column, buckets: int) -> Column:
-    """The same of a column."""
-    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(buckets).cast("bigint"), 32).cast("int")
-
-
 def _ngrams(word: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all n-grams, and the place of each one's last word."""
     m = len(word) - n + 1
@@ -362,8 +357,10 @@ def fit_blocks(parts: DataFrame, order: int = ORDER, least: int = LEAST, k: int
             lower = grams.select(F.col("key").alias("key_below"), F.col("count").alias("count_below"), F.lit(bottom).cast("bigint").alias("bottom"))
         else:
             links = written(_links(parts, counted.filter("kind = 2"), n, n == order), "links")
+            if n < order:
+                drop_path(spark, f"{counted._written_at}/kind=2")
             p = _kept(F.col("count_below"), discount[n - 1]) / F.col("bottom")
-            sums = links.select("ctx", "low", _kept(F.col("count"), discount[n]).alias("kept")).join(lower, F.col("low") == F.col("key_below")).select("ctx", "kept", p.alias("p"))
+            sums = links.select("ctx", "low", "count").join(lower, F.col("low") == F.col("key_below")).select("ctx", _kept(F.col("count"), discount[n]).alias("kept"), p.alias("p"))
             sums = written(sums.groupBy("ctx").agg(F.sum("kept").alias("kept"), F.sum("p").alias("taken")), "sums")
             if n > 2:
                 drop(lower)
@@ -383,6 +380,7 @@ def fit_blocks(parts: DataFrame, order: int = ORDER, least: int = LEAST, k: int
             drop(links)
         below = counted
     grams.select("key", "count", F.lit(0).cast("bigint").alias("total"), F.lit(1.0).alias("backoff")).write.option("compression", "zstd").parquet(f"{path}/ngrams/ord={order}")
+    drop_path(spark, f"{below._written_at}/kind=1")
     summary = spark.createDataFrame([(n, numbers, occurrences, [float(x) for x in discount[n]]) for n, numbers, occurrences in rows], "ord int, numbers array<bigint>, occurrences bigint, discounts array<double>")
     summary.coalesce(1).write.parquet(f"{path}/summary")
     return read_model(spark, path), below if order > 1 else None
@@ -395,16 +393,44 @@ def read_model(spark: SparkSession, path: str) -> Model:
     return Model(len(rows), spark.read.schema(_NGRAMS).parquet(f"{path}/ngrams"), words, bottom, unknown, discount, path)
 
 
+def _model_rows(model: Model, n: int, buckets: int) -> DataFrame:
+    """The model's n-grams by bucket, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            key, count, total, backoff = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4))
+            held.clear()
+            key = key.view(U64)
+            by = np.argsort(key)
+            key, count, total, backoff = key[by], count[by], total[by], backoff[by]
+            b = _bucket_of(key, buckets)
+            ends = np.r_[_runs(b), len(b)]
+            out = [(int(b[i]), pack(*_pack_keys(key[i:j]), count[i:j], total[i:j], backoff[i:j])) for i, j in zip(ends, ends[1:])]
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "data"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 1_000_000:
+                yield flush()
+        if sum(b.num_rows for b in held):
+            yield flush()
+
+    return model.ngrams.filter(F.col("ord") == n).select("key", "count", "total", "backoff").mapInArrow(run, "bucket int, data binary")
+
+
 def _looked_up(parts: DataFrame, model: Model, n: int, buckets: int) -> DataFrame:
     """By block and bucket what the model has of the block's n-grams: counts, and for the shorter orders totals and backoffs."""
     schema = pa.schema([("ord", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
     last = n == model.order
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        have = right["key"].to_numpy().view(U64)
+        held = [unpack(d) for d in right["data"].to_pylist()]
+        have = np.concatenate([_unpack_keys(h[0], h[1]) for h in held]) if held else np.zeros(0, U64)
         by = np.argsort(have)
         have = have[by]
-        count, total, backoff = (right[c].to_numpy()[by] for c in ("count", "total", "backoff"))
+        count, total, backoff = (np.concatenate([h[i] for h in held])[by] if held else have for i in (2, 3, 4))
         out = []
         for block, data in zip(left["block"].to_pylist(), left["data"].to_pylist()):
             asked = _unpack_keys(*unpack(data))
@@ -417,7 +443,7 @@ def _looked_up(parts: DataFrame, model: Model, n: int, buckets: int) -> DataFram
             out.append((n, key[0].as_py(), block, pack(own[0]) if last else pack(own[0], own[0] + 1 - own[1], np.packbits(odd), alpha[odd])))
         return pa.table([pa.array([r[i] for r in out], t.type) for i, t in enumerate(schema)], schema=schema)
 
-    rows = model.ngrams.filter(F.col("ord") == n).select("key", "count", "total", "backoff", _bucket(F.col("key"), buckets).alias("bucket"))
+    rows = _model_rows(model, n, buckets)
     return _sent(parts, n, buckets, False, True).groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, "ord int, bucket int, block bigint, data binary")
 
 
