@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.config import GRAPHEMES, WORDS, Canonical, MinHash, SimHash
-from loomtext.functions.sketches import SIGNATURE
+from loomtext.functions.sketches import SIGNATURE, signatures
 from loomtext.functions.text import mapped
 from loomtext.kernels import canon, chunk, html, markdown, sketch, tlsh
 from loomtext.kernels.words import shingles, tokenizer
@@ -23,13 +24,12 @@ def register(spark: SparkSession, canonical: Canonical = Canonical(), minhash: M
     def scalar(kind: str, arrow: pa.DataType, f):
         return F.arrow_udf(lambda v: mapped(v, f, arrow), kind)
 
-    def minhash_of(text: str):
-        found, some = sketch.minhash([text], minhash)
-        return {"schema": 1, "hashes": found[0].view("int64").tolist()} if some[0] else None
+    def minhash_of(texts: pa.Array) -> pa.Array:
+        return signatures(*sketch.minhash(texts.to_pylist(), minhash))
 
-    def simhash_of(text: str):
-        found, some = sketch.simhash([text], simhash)
-        return int(found.view("int64")[0]) if some[0] else None
+    def simhash_of(texts: pa.Array) -> pa.Array:
+        found, some = sketch.simhash(texts.to_pylist(), simhash)
+        return pa.array(found.view(np.int64), mask=~some)
 
     def tlsh_of(text: str):
         try:
@@ -37,14 +37,13 @@ def register(spark: SparkSession, canonical: Canonical = Canonical(), minhash: M
         except InvalidInput:
             return None
 
-    sig = pa.struct([("schema", pa.int16()), ("hashes", pa.list_(pa.int64()))])
     words, graphemes = tokenizer(WORDS), tokenizer(GRAPHEMES)
     found = {
         "canonicalize": scalar("string", pa.string(), lambda t: canon.canonical(t, canonical)),
         "word_tokens": scalar("array<string>", strings, words),
         "graphemes": scalar("array<string>", strings, graphemes),
-        "minhash": scalar(SIGNATURE, sig, minhash_of),
-        "simhash": scalar("bigint", pa.int64(), simhash_of),
+        "minhash": F.arrow_udf(minhash_of, SIGNATURE),
+        "simhash": F.arrow_udf(simhash_of, "bigint"),
         "tlsh_digest": scalar("string", pa.string(), tlsh_of),
         "html_to_text": scalar("string", pa.string(), html.text),
         "markdown_to_text": scalar("string", pa.string(), markdown.text),

@@ -37,7 +37,7 @@ def hash_tokens(token_list: Column | str, family: str, seed: int) -> Column:
     return run(col(token_list))
 
 
-def _signatures(hashes: np.ndarray, some: np.ndarray) -> pa.StructArray:
+def signatures(hashes: np.ndarray, some: np.ndarray) -> pa.StructArray:
     slots = hashes.shape[1]
     off = pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * slots)
     lists = pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(hashes).view(np.int64).ravel()))
@@ -55,7 +55,7 @@ def minhash(text: Column | str, config: MinHash = MinHash(), on_error: str = "co
     def run(values: pa.Array) -> pa.Array:
         texts = values.to_pylist()
         hashes, some = sketch.minhash(texts, config, ready)
-        return pa.StructArray.from_arrays([_signatures(hashes, some), _errors(texts, some)], ["sig", "error"])
+        return pa.StructArray.from_arrays([signatures(hashes, some), _errors(texts, some)], ["sig", "error"])
 
     return settled(run(col(text).cast("string")), "sig", on_error)
 

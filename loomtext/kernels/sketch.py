@@ -17,16 +17,23 @@ _BLOCK = 1 << 15  # hashes handled at a time, so that the working set stays in t
 
 def tokens_of(text: str, tokens: Tokens) -> list[bytes]:
     """Tokens as bytes; the usual single shingle is cut from one joined string."""
+    if not tokens.shingle and tokens.kind == "word":  # no word has a space
+        joined = " ".join(tokenizer(tokens)(text)).encode("utf-8", "surrogatepass")
+        return joined.split(b" ") if joined else []
     if len(tokens.shingle) != 1:
         return [t.encode("utf-8", "surrogatepass") for t in tokenizer(tokens)(text)]
     base, k = tokenizer(Tokens(tokens.kind, (), tokens.hmm))(text), tokens.shingle[0]
     if k == 0 or len(base) <= k:
         return [t.encode("utf-8", "surrogatepass") for t in shingles(base, k)]
-    parts = [t.encode("utf-8", "surrogatepass") for t in base]
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    if tokens.kind == "word":
+        joined = " ".join(base).encode("utf-8", "surrogatepass")
+        ends = np.r_[np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined)]
+    else:
+        parts = [t.encode("utf-8", "surrogatepass") for t in base]
+        joined = b" ".join(parts)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
-    return [joined[a:b] for a, b in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())]
+    return [joined[a:b] for a, b in zip(starts[: len(base) - k + 1].tolist(), ends[k - 1 :].tolist())]
 
 
 def hashed(texts: list[str | None], config: MinHash | SimHash, ready: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:

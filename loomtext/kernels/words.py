@@ -33,10 +33,26 @@ _CLUSTER = regex.compile(r"\X")
 _ASCII = re.compile(r"[A-Za-z0-9_]+(?:(?:(?<=[A-Za-z])[.':](?=[A-Za-z])|(?<=[0-9])[.',;](?=[0-9]))[A-Za-z0-9_]+)*")
 
 
+@lru_cache(1)
+def _european() -> tuple[frozenset[str], re.Pattern]:
+    """Characters of European texts that need no more than the ASCII rules, and these rules with their letters."""
+    letter, other = regex.compile(r"\p{Word_Break=ALetter}"), regex.compile(r"\p{Word_Break=Other}")
+    points = [chr(c) for c in (*range(0x80, 0x250), *range(0x370, 0x500), *range(0x2010, 0x2028), *range(0x2030, 0x2060), *range(0x20A0, 0x20C0))]
+    letters = "".join(c for c in points if letter.match(c))
+    rest = [c for c in points if other.match(c) and not _ALNUM.match(c)]
+    of = f"[A-Za-z{letters}]"
+    run = f"[A-Za-z0-9_{letters}]+"
+    pattern = re.compile(rf"{run}(?:(?:(?<={of})[.':](?={of})|(?<=[0-9])[.',;](?=[0-9])){run})*")
+    return frozenset([*map(chr, range(0x80)), *letters, *rest]), pattern
+
+
 def words(text: str) -> list[str]:
     """Words that have a letter or a digit."""
     if text.isascii():
         return [w for w in _ASCII.findall(text) if w.strip("_")]
+    known, pattern = _european()
+    if known.issuperset(text):
+        return [w for w in pattern.findall(text) if w.strip("_")]
     return [w for w in _WORD.findall(text) if _ALNUM.search(w)]
 
 
@@ -66,12 +82,9 @@ def _jieba():
 
 
 def cjk(text: str, kind: str, hmm: bool = False) -> list[str]:
-    """Dictionary words without pure white space. Japanese and Korean use the word rules, as does Chinese without its dictionary."""
+    """Dictionary words without pure white space; Chinese fails without its dictionary. Japanese and Korean use the word rules."""
     if kind == "cjk-jieba":
-        try:
-            return [w for w in _jieba().cut(text, HMM=hmm) if w.strip()]
-        except FeatureDisabled:
-            pass
+        return [w for w in _jieba().cut(text, HMM=hmm) if w.strip()]
     return words(text)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,16 +76,19 @@ def simhash_by_idf(docs: DataFrame, idf: DataFrame, config: SimHash = SimHash(we
 def hamming_pairs(prints: DataFrame, most: int) -> DataFrame:
     """a < b and distance of all fingerprints (id, simhash) at most ``most`` bits apart; exact.
 
-    Two such fingerprints agree on one of most + 1 blocks of their bits, so the pairs are found by equi-joins on blocks.
-    Equal fingerprints are folded into one before. Null ids and fingerprints match nothing; ids must be unique.
+    Of most + e blocks of their bits two such fingerprints agree on e, so the pairs are found by equi-joins on all choices of e blocks;
+    e is the least (of 3 at most) with as many bits in a choice as it takes to number the fingerprints, so few unlike ones meet. Equal fingerprints are folded into one before. Null ids and fingerprints match nothing; ids must be unique.
     """
     if not 0 <= most < 64:
         raise ConfigError("the distance lies in [0, 64)")
     live = prints.filter("id IS NOT NULL AND simhash IS NOT NULL").select("id", "simhash")
     values = live.select("simhash").distinct()
-    edges = [round(i * 64 / (most + 1)) for i in range(most + 2)]
-    cut = lambda lo, hi: F.shiftrightunsigned("simhash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
-    blocks = values.select("simhash", F.posexplode(F.array(*[cut(lo, hi) for lo, hi in zip(edges, edges[1:])])).alias("block", "key"))
+    bits = int(values.count()).bit_length()
+    extra = next((e for e in (1, 2) if 64 * e / (most + e) >= bits or most + e >= 8), 3 if most < 5 else 1)
+    edges = [round(i * 64 / (most + extra)) for i in range(most + extra + 1)]
+    masks = [sum((1 << hi) - (1 << lo) for lo, hi in chosen) for chosen in itertools.combinations(list(zip(edges, edges[1:])), extra)]
+    cut = [F.col("simhash").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")) for m in masks]
+    blocks = values.select("simhash", F.posexplode(F.array(*cut)).alias("block", "key"))
     pairs = blocks.withColumnRenamed("simhash", "x").join(blocks.withColumnRenamed("simhash", "y"), ["block", "key"]).filter("x <= y")
     close = pairs.filter(hamming("x", "y") <= most).select("x", "y").distinct()
     a = live.select(F.col("id").alias("i"), F.col("simhash").alias("x"))

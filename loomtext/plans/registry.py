@@ -12,7 +12,7 @@ from loomtext.functions import vectors as V
 from loomtext.operators import corpus, lsh
 from loomtext.operators import sketches as K
 from loomtext.plans import sql as q
-from loomtext.session import table, written
+from loomtext.session import spread, table, written
 from loomtext.streaming import chunked
 
 QUERIES: dict = {}
@@ -36,11 +36,11 @@ def query(sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def signed(spark: SparkSession, sf_dir: str, config: MinHash) -> DataFrame:
@@ -102,16 +102,16 @@ def shingles_k5(spark, sf_dir):
     return s.select("doc_id", F.size("s").alias("n"), F.size(F.array_distinct("s")).alias("n_distinct"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"WITH {q.word_lists()}, a AS (SELECT id, CASE WHEN len(ws) = 0 THEN 0 ELSE greatest(len(ws) - 2, 1) END AS n FROM lists) SELECT id AS doc_id, (CASE WHEN n = 0 THEN 0 ELSE greatest(n - 1, 1) END)::INTEGER AS n FROM a")
 def nested_shingles(spark, sf_dir):
     """Pairs of word triples."""
     return documents(spark, sf_dir).select("doc_id", X.token_count("text", Tokens(shingle=(3, 2)), Canonical()).alias("n"))
 
 
-@query()
+@query(f"SELECT doc_id, len(ws)::INTEGER AS cjk_lindera_ipadic, len(ws)::INTEGER AS cjk_lindera_ko_dic FROM (SELECT doc_id, {q.words('text')} AS ws FROM documents)")
 def cjk_tokens(spark, sf_dir):
-    """By the word rules, as no dictionary is installed."""
-    kinds = [k for k in Tokens.KINDS if k.startswith("cjk")]
+    """Japanese and Korean, by the word rules; the Chinese dictionary is not installed."""
+    kinds = [k for k in Tokens.KINDS if k.startswith("cjk-lindera")]
     return documents(spark, sf_dir).select("doc_id", *[X.token_count("text", Tokens(k)).alias(k.replace("-", "_")) for k in kinds])
 
 
@@ -151,7 +151,7 @@ def minhash_default(spark, sf_dir):
 @query(f"WITH {q.signatures(32)}, e AS (SELECT source, generate_subscripts(sig, 1) AS i, unnest(sig) AS s FROM sigs JOIN documents ON doc_id = id), m AS (SELECT source, i, min(s) AS s FROM e GROUP BY ALL) SELECT source, md5(string_agg({q.hex16('s')}, '' ORDER BY i)) AS digest FROM m GROUP BY source")
 def source_signatures(spark, sf_dir):
     """The signature of each source's union of documents."""
-    docs = table(spark, sf_dir, "documents").select("source", S.minhash("text", NARROW, "null").alias("sig"))
+    docs = spread(table(spark, sf_dir, "documents").select("source", "text")).select("source", S.minhash("text", NARROW, "null").alias("sig"))
     u = K.union_signatures(docs, "source", "sig", NARROW.slots)
     return u.select("source", F.md5(F.array_join(F.transform("sig.hashes", S.hex64), "").cast("binary")).alias("digest"))
 
@@ -321,7 +321,7 @@ def html_visible(spark, sf_dir):
 
 @query()
 def html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.html_to_text("html").alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", X.html_to_text("html").alias("text"))
 
 
 @query()

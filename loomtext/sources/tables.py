@@ -36,10 +36,10 @@ def pdf_files(spark: SparkSession, path: str, options: pdf.Options = pdf.Options
 
 
 def write_index(signatures: DataFrame, path: str, p: Partition) -> None:
-    """signatures and buckets as Parquet tables under ``path``, the latter by band."""
+    """signatures and buckets as Parquet tables under ``path``, the latter by band and, within, in ranges of keys: a probe of some keys skips the other row groups."""
     signatures.select("id", "sig").write.parquet(f"{path}/signatures")
     stored = signatures.sparkSession.read.parquet(f"{path}/signatures")
-    buckets(stored, p).repartition("band").write.partitionBy("band").parquet(f"{path}/buckets")
+    buckets(stored, p).repartitionByRange("band", "key").sortWithinPartitions("band", "key").write.partitionBy("band").parquet(f"{path}/buckets")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
