@@ -45,7 +45,7 @@ def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signed(spark: SparkSession, sf_dir: str, config: MinHash) -> DataFrame:
     """id, sig of every document that has one, written once for plans that read it several times."""
-    return written(keyed(spark, sf_dir).select("id", S.minhash("text", config, "null").alias("sig")).filter("sig IS NOT NULL"), "signatures")
+    return written(keyed(spark, sf_dir).select("id", S.minhash("text", config, "null").alias("sig")), "signatures").filter("sig IS NOT NULL")
 
 
 def rounded(c, n: int = 4):
@@ -190,8 +190,8 @@ def simhash_default(spark, sf_dir):
 @query(f"WITH {_TERMS}, {q.simhash('tf')} SELECT x.id AS a, y.id AS b, bit_count(xor(x.simhash, y.simhash))::INTEGER AS distance, round(cos(bit_count(xor(x.simhash, y.simhash)) / 64.0 * pi()), 4) AS cosine FROM prints x JOIN prints y ON x.id < y.id WHERE bit_count(xor(x.simhash, y.simhash)) <= 3")
 def hamming_pairs(spark, sf_dir):
     """All pairs of documents whose SimHashes differ in at most 3 bits."""
-    prints = keyed(spark, sf_dir).select("id", S.simhash("text", SimHash(family=MURMUR3), on_error="null").alias("simhash")).filter("simhash IS NOT NULL")
-    pairs = K.hamming_pairs(written(prints, "simhash"), 3)
+    prints = keyed(spark, sf_dir).select("id", S.simhash("text", SimHash(family=MURMUR3), on_error="null").alias("simhash"))
+    pairs = K.hamming_pairs(written(prints, "simhash").filter("simhash IS NOT NULL"), 3)
     return pairs.select("a", "b", F.col("distance").cast("int").alias("distance"), F.round(F.cos(F.col("distance") / 64.0 * F.pi()), 4).alias("cosine"))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -101,10 +102,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its scan has fewer than two partitions a core; costly column work then uses every core.
+    """``df`` over all cores if its scan has fewer partitions than cores; costly column work then uses every core.
 
     A small file of one row group is read by a single task whatever its size in bytes; a large table has
-    more partitions than that and stays as it is.
+    more partitions than that and stays as it is. The condition that is always true keeps later filters, on what the
+    column work returns, from being moved below the exchange.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(2 * cores).filter(F.rand() >= 0) if df.rdd.getNumPartitions() < cores else df
