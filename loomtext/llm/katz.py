@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm._text import U64, Words, blocks, flat, mix
-from loomtext.session import drop, drop_path, scratch_path, shuffles_freed, table, written
+from loomtext.session import drop, drop_path, scratch_path, shuffles_freed, spread, table, written
 
 ORDER, K, LEAST, FLUSH, BUCKET_WORDS = 3, 5, 2, 1_200_000, 1_500_000
 _ODD = U64(0x9E3779B97F4A7C15)
@@ -508,7 +508,7 @@ def score_blocks(parts: DataFrame, model: Model, answers: DataFrame | None = Non
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by the model of all documents."""
-    parts = word_blocks(table(spark, sf_dir, "documents"))
+    parts = word_blocks(spread(table(spark, sf_dir, "documents")))
     model, answers = fit_blocks(parts)
     out = score_blocks(parts, model, answers)
     drop_path(spark, model.path)  # what the scores need of it has been looked up

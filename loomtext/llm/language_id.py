@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm._text import blocks, flat
-from loomtext.session import table
+from loomtext.session import spread, table
 
 BUCKETS, WIDTH, PER_LABEL, LEAST, PRECISION = 1 << 17, 16, 800, 5, 0.995
 SIZES = (2, 3, 4)
@@ -255,5 +255,5 @@ def accepted(spark: SparkSession, model: Model) -> Column:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return identify(docs, fit(docs))

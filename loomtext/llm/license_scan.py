@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from loomtext.llm._fit import small
 from loomtext.llm._text import Words, blocks, flat, signed
-from loomtext.session import table, written
+from loomtext.session import spread, table, written
 
 K, COVER = 2, 0.8
 
@@ -207,4 +207,4 @@ def _verified(source: DataFrame, spans: DataFrame, templates: dict[str, str], k:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(spread(table(spark, sf_dir, "documents")))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm._fit import small
 from loomtext.llm.packing import token_count
-from loomtext.session import table, written
+from loomtext.session import spread, table, written
 
 TEMPER, RIDGE, STEPS, CLOSE = 0.7, 1e-3, 40, 1e-7
 
@@ -180,4 +180,4 @@ def remixed(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates(table(spark, sf_dir, "documents"))
+    return rates(spread(table(spark, sf_dir, "documents")))

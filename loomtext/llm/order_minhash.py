@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from loomtext.llm._components import components
 from loomtext.llm._fit import small
 from loomtext.llm._text import U64, Words, blocks, flat, mix, signed
-from loomtext.session import table, written
+from loomtext.session import spread, table, written
 
 #: Runs of three words and 72 bands: a pair at just SIMILARITY with scattered replacements shares a bucket with chance 1 - (1 - (0.343 / 1.657)^2)^72 = 0.96,
 #: while unlike texts seldom do, so buckets don't grow with the corpus.
@@ -290,4 +290,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"))
+    return groups(spread(table(spark, sf_dir, "documents")))

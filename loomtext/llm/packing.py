@@ -25,7 +25,7 @@ from pyspark.sql.window import Window as W
 
 from loomtext.llm._fit import small
 from loomtext.llm._text import encoder, tokenizer_path
-from loomtext.session import table, written
+from loomtext.session import spread, table, written
 
 WINDOW, UNIT, DEPTH, SHARD_ROWS = 2048, 16, 4, 1_000_000
 
@@ -177,4 +177,4 @@ def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = D
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm._text import encoder, tokenizer_path
-from loomtext.session import scratch_path, table
+from loomtext.session import scratch_path, spread, table
 
 ENCODING, GROUP_BYTES, PAGE_BYTES = "delta", 32 << 20, 256 << 10
 SCHEMA = "doc_id bigint, lang string, source string, n_tokens int, tokens array<int>"
@@ -72,5 +72,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenises and writes the documents, and returns the table as read back."""
     path = scratch_path(spark, "tokens")
-    write_tokens(tokenized(table(spark, sf_dir, "documents")), path)
+    write_tokens(tokenized(spread(table(spark, sf_dir, "documents"))), path)
     return read_tokens(spark, path)

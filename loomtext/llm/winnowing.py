@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.session import table
+from loomtext.session import spread, table
 
 K, WINDOW = 25, 40
 PRIME = (1 << 31) - 1
@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(spread(table(spark, sf_dir, "documents")))
 
 
 def _poly(base: int) -> str:
