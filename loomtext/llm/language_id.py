@@ -4,7 +4,7 @@ Features are the 2-, 3- and 4-byte runs of the lowered words of a text, word bou
 into BUCKETS. A text's embedding is the mean of its features' embeddings, its scores a linear map of
 that; both are fitted by stochastic gradient descent on labelled documents. A fifth of these is held
 out to fit a temperature (so that confidences are probabilities) and two rejection levels: the confidence
-from which held-out texts are right PRECISION of the time (or as often as any level reaches), and the share of features known
+from which whole held-out texts are right PRECISION of the time (or as often as any level reaches; the lowest met if all are right), and the share of features known
 from training that lies midway between what held-out texts have and what the same texts have with their letters
 shuffled, which are in no language.
 
@@ -31,6 +31,8 @@ from loomtext.llm._text import blocks, flat
 from loomtext.session import spread, table
 
 BUCKETS, WIDTH, PER_LABEL, LEAST, PRECISION = 1 << 17, 16, 800, 5, 0.995
+#: Steps of training at least, so that few documents are seen more often instead of leaving a label half learnt.
+STEPS = 20_000
 SIZES = (2, 3, 4)
 _RESULT = "doc_id bigint, lang string, confidence double, accepted boolean"
 
@@ -139,6 +141,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 40
     n_labels = len(kept)
     emb = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out = np.zeros((WIDTH, n_labels), np.float32)
+    epochs = max(epochs, -(-STEPS // len(bags)))
     steps, total = 0, epochs * len(bags)
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -196,14 +199,21 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray, rng: np.random.Gen
         return e / e.sum(axis=1, keepdims=True)
 
     grid = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(np.maximum(probabilities(t)[np.arange(len(z)), target], 1e-12)).mean() for t in grid]
+    # one label in n + 2 counts as wrong: where held-out texts are all right, no temperature makes that certain
+    doubt, loss = 1 / (len(z) + 2), []
+    for t in grid:
+        logs = np.log(np.maximum(probabilities(t), 1e-12))
+        loss.append(-((1 - doubt) * logs[np.arange(len(z)), target] + doubt * logs.mean(axis=1)).mean())
     model.temperature = float(grid[int(np.argmin(loss))])
     p = probabilities(model.temperature)
-    top, right = p.max(axis=1), p.argmax(axis=1) == target
+    # documents are scored whole, so the level is that of whole texts; snippets only serve the temperature
+    n_whole = int(whole.sum())
+    top, right = p.max(axis=1)[:n_whole], (p.argmax(axis=1) == target)[:n_whole]
     order = np.argsort(-top, kind="stable")
     precision = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(precision >= min(PRECISION, precision.max()))
-    model.confidence = float(top[order][good[-1]]) if len(model.labels) > 1 else 0.0
+    if len(precision) and len(model.labels) > 1:
+        good = np.flatnonzero(precision >= min(PRECISION, precision.max()))
+        model.confidence = float(top[order][good[-1]])
     if len(share):
         _, shuffled, n = _sums(model, *_pack(["".join(rng.permutation(list(t))) for t in texts]))
         none, real = np.quantile((shuffled / np.maximum(n, 1))[n > 0], 0.99) if n.any() else 0.0, np.quantile(share, 0.001)
