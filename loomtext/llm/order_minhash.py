@@ -10,7 +10,9 @@ Equal word sequences are folded into one node first, so that a passage copied a
 is one node. Within a bucket of the others every member is aligned with the bucket's leader (the
 smallest node under a hash that differs by band); those that fail are led by one of themselves in the next
 round. After ROUNDS rounds the pairs of each bucket that are not connected yet, passed or failed, are
-compared one by one if their lengths allow them to be near. So nothing is capped, and a bucket of n copies near to their leader costs n alignments.
+compared: those whose words, counted in BINS bins, have too little in common to be near are left out by products of whole blocks of
+such counts, the others are aligned. So nothing is capped, a bucket of n copies near to their leader costs n alignments, and
+one of n unlike texts around a common sentence costs n rows of counts and n^2 short products, but no rows or alignments for each pair.
 Accepted pairs have 1 - distance / longer length >= SIMILARITY,
 the distance counting inserted, deleted and replaced words. Groups are the connected components.
 
@@ -28,15 +30,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from loomtext.llm._components import components
 from loomtext.llm._fit import small
 from loomtext.llm._text import U64, Words, blocks, flat, mix, signed
-from loomtext.session import spread, table, written
+from loomtext.session import drop, spread, table, written
 
 #: Runs of three words and 72 bands: a pair at just SIMILARITY with scattered replacements shares a bucket with chance 1 - (1 - (0.343 / 1.657)^2)^72 = 0.96,
 #: while unlike texts seldom do, so buckets don't grow with the corpus.
 K, PICK, BANDS, SIMILARITY, ROUNDS = 3, 2, 72, 0.7, 3
+#: Bins that words are counted in, counts told apart (above, only their sum), and members of a bucket that one task holds at once, of which it multiplies a block.
+BINS, LEVELS, CHUNK, BLOCK = 256, 4, 65_536, 2048
 
 
 def _labelled(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,25 +213,88 @@ def _aligned(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint, near boolean, similarity double")
 
 
+def _prints(words: DataFrame) -> DataFrame:
+    """id, n (words) and print: the counts of the words in BINS bins, none above 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)]
+            counts = [np.minimum(np.bincount(x % BINS, minlength=BINS), 255).astype(np.uint8).tobytes() for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int32()), pa.array(counts, pa.binary())], names=["id", "n", "print"])
+
+    return words.select("id", "words").mapInArrow(run, "id bigint, n int, print binary")
+
+
+def _unary(prints: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows whose products are at least the number of words that two texts have in common, as a multiset."""
+    steps = [prints >= t for t in range(1, LEVELS + 1)]
+    over = np.sqrt(np.maximum(n - np.minimum(prints, LEVELS).sum(axis=1, dtype=np.int64), 0))
+    return np.c_[(*steps, over)].astype(np.float32)
+
+
+def _may_be_near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Which rows of two sets of counts may belong to near texts: an alignment keeps no more words than both have."""
+    longer = np.maximum(nx[:, None], ny[None, :])
+    least = longer - np.floor((1 - SIMILARITY) * longer + 1e-9)
+    return (np.minimum(nx[:, None], ny[None, :]) >= least) & (_unary(x, nx) @ _unary(y, ny).T >= least - 0.01)
+
+
 def _apart(members: DataFrame, edges: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket that ``edges`` don't connect and whose lengths allow them to be near."""
+    """Pairs (a, b) of a bucket that ``edges`` don't connect and whose words have enough in common for them to be near."""
     roots = components(edges).select(F.col("node").alias("id"), "root")
-    lengths = words.select("id", (F.length("words") / 4).cast("int").alias("n"))
-    known = written(members.join(roots, "id", "left").join(lengths, "id").select("band", "key", "id", "n", F.coalesce("root", "id").alias("root")), "known")
+    known = written(members.join(roots, "id", "left").select("band", "key", "id", F.coalesce("root", "id").alias("root")), "known")
     # the largest component of a bucket meets the others, never itself
-    parts = known.groupBy("band", "key", "root").count().groupBy("band", "key").agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
-    split = known.join(parts.filter("parts > 1").select("band", "key", F.col("main.root").alias("main")), ["band", "key"])
-    x, y = split.filter("root != main").alias("x"), split.alias("y")
-    longer = F.greatest("x.n", "y.n")
-    near = F.abs(F.col("x.n") - F.col("y.n")) <= F.floor((1 - SIMILARITY) * longer + 1e-9)
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & F.expr("x.root != y.root AND (y.root = y.main OR x.id > y.id)") & near
-    return x.join(y, on).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    parts = known.groupBy("band", "key", "root").count().groupBy("band", "key").agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("size"))
+    parts = parts.filter("parts > 1").select("band", "key", F.col("main.root").alias("main"), F.ceil(F.col("size") / CHUNK).alias("chunks"))
+    split = known.join(parts, ["band", "key"]).select("band", "key", "id", "root", (F.col("root") == F.col("main")).alias("most"), F.pmod(F.xxhash64("id"), F.col("chunks")).alias("own"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other"))
+    split = split.join(_prints(words), "id").select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "root", "most", "n", "print")
+
+    def pairs(unit: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, root, most, n, own, x, y = (unit[c].to_numpy() for c in ("id", "root", "most", "n", "own", "x", "y"))
+        n = n.astype(np.int64)
+        prints = np.frombuffer(b"".join(unit["print"].to_pylist()), np.uint8).reshape(-1, BINS)
+        one, two = own == x[0], own == y[0]
+        few = np.flatnonzero(one & ~most)
+        if x[0] == y[0]:
+            jobs = [(few, np.r_[few, np.flatnonzero(most)], True)]
+        else:
+            jobs = [(few, np.flatnonzero(two), False), (np.flatnonzero(one & most), np.flatnonzero(two & ~most), False)]
+        for left, right, same in jobs:
+            for s in range(0, len(left), BLOCK):
+                u = left[s : s + BLOCK]
+                for t in range(s if same else 0, len(right), BLOCK):
+                    v = right[t : t + BLOCK]
+                    i, j = np.nonzero(_may_be_near(prints[u], prints[v], n[u], n[v]) & (root[u][:, None] != root[v][None, :]))
+                    if len(i):
+                        a, b = ids[u[i]], ids[v[j]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, last = [], None  # a unit may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [batch.column(c).to_numpy() for c in ("band", "key", "x", "y")]
+            turns = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in names])) + 1
+            for begin, end in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
+                this = tuple(c[begin] for c in names)
+                if kept and this != last:
+                    yield from pairs(pa.Table.from_batches(kept))
+                    kept = []
+                kept.append(batch.slice(begin, end - begin))
+                last = this
+        if kept:
+            yield from pairs(pa.Table.from_batches(kept))
+
+    units = split.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
+    return units.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _led(members: DataFrame) -> DataFrame:
     """``members`` (band, key, id) of buckets of two and more, with their leaders."""
-    leaders = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "band"), "id"))["id"].alias("leader"))
-    return members.join(leaders.filter("size > 1").drop("size"), ["band", "key"])
+    bucket = W.partitionBy("band", "key")
+    leader = F.min(F.struct(F.xxhash64("id", "band"), "id")).over(bucket)["id"]
+    return members.select("band", "key", "id", leader.alias("leader"), F.count("*").over(bucket).alias("size")).filter("size > 1").drop("size")
 
 
 def _edges(members: DataFrame, words: DataFrame) -> DataFrame:
@@ -254,14 +322,20 @@ def _grouped(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.lower(text).alias("text")).filter("id IS NOT NULL AND text != ''")
     rows = written(_sketches(source).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    firsts = written(rows.groupBy("whole").agg(F.min("row").alias("node")), "firsts")
-    nodes = rows.select("row", "bands").join(firsts.select(F.col("node").alias("row")), "row", "left_semi")
+    named = written(rows.select("row", "id", "text_hash", "whole"), "named")
+    firsts = written(named.groupBy("whole").agg(F.min("row").alias("node")), "firsts")
+    nodes = rows.select("row", "bands").join(small(firsts.select(F.col("node").alias("row"))), "row", "left_semi")
     members = written(_led(nodes.select(F.col("row").alias("id"), F.posexplode("bands").alias("band", "key"))), "members")
     wanted = members.select(F.col("id").alias("row")).distinct()
     words = written(rows.select("row", "words").join(small(written(wanted, "wanted")), "row", "left_semi").withColumnRenamed("row", "id"), "words")
+    drop(rows)
     roots = components(_edges(members, words))
-    every = rows.select("row", "id", "text_hash", "whole").join(firsts, "whole").join(roots, "node", "left")
+    drop(words)
+    drop(members)
+    every = named.join(firsts, "whole").join(roots, "node", "left")
     every = written(every.select("row", "id", "text_hash", "whole", F.coalesce("root", "node").alias("group")), "grouped")
+    drop(named)
+    drop(firsts)
     heads = every.groupBy("group").agg(F.count("*").alias("size"), F.min(F.struct("id", "whole", "row")).alias("head")).filter("size > 1")
     return every.join(heads, "group").select(F.col("id").alias("doc_id"), "text_hash", F.col("head.id").alias("group_id"), (F.col("row") == F.col("head.row")).alias("keep"))
 

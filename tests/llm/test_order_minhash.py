@@ -145,6 +145,38 @@ def test_copies_that_are_near_only_to_their_original(spark):
         assert found == {(i, 0) for i in range(1, 13)}
 
 
+def test_counts_never_leave_out_a_near_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a = rng.integers(0, rng.choice([3, 40, 5000]), rng.choice([1, 9, 60, 2000]))
+        b = np.delete(a, rng.choice(len(a), rng.integers(0, len(a) // 3 + 1), replace=False))
+        b[rng.random(len(b)) < rng.choice([0, 0.1, 0.25])] = 7
+        counts = [np.minimum(np.bincount(x % o.BINS, minlength=o.BINS), 255).astype(np.uint8)[None] for x in (a, b)]
+        longer = max(len(a), len(b))
+        common = sum(min((a == w).sum(), (b == w).sum()) for w in set(a.tolist()))
+        if common >= longer - o.allowed(longer):
+            assert o._may_be_near(*counts, np.array([len(a)]), np.array([len(b)])).all()
+
+
+def test_unlike_texts_around_a_common_sentence_are_not_aligned_in_pairs(spark, monkeypatch):
+    """A large bucket loses no near pair, and its others don't become rows."""
+    monkeypatch.setattr(o, "CHUNK", 64, raising=False)
+    rng = random.Random(6)
+    text = lambda: ["the", "same", "old", "sentence"] + [f"w{rng.randrange(4000)}" for _ in range(60)]
+    texts = [text() for _ in range(240)]
+    main = text()
+    texts += [[*main[:k], "x", *main[k + 1 :]] for k in range(4, 40)] + [main]
+    near = []
+    for i in range(0, 60, 6):
+        near.append((len(texts), i))
+        texts.append([f"y{p}" if p % 5 == 4 else w for p, w in enumerate(texts[i])])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    every = spark.createDataFrame([(b, 7, i) for b in range(2) for i in range(len(texts))], "band int, key long, id long")
+    tied = spark.createDataFrame([(i, 240) for i in range(241, 277)], "a long, b long")
+    found = [(r.a, r.b) for r in o._apart(every, tied, word_lists(docs)).collect()]
+    assert set(near) <= set(found) and len(found) == len(set(found)) < 100
+
+
 def test_recall_of_candidates_by_similarity():
     """Pairs with edits scattered over the whole text share a bucket, at every level down to the threshold."""
     rng = random.Random(4)
