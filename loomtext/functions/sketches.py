@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomtext.config import SCHEMA, Canonical, MinHash, SimHash, config_hash_of
 from loomtext.errors import ConfigError, InvalidInput
-from loomtext.functions.text import col, failing, mapped, settled
+from loomtext.functions.text import col, failing, mapped, pieces, settled
 from loomtext.kernels import sketch, tlsh
 from loomtext.kernels.canon import canonical
 from loomtext.kernels.hashing import hash128
@@ -48,14 +48,24 @@ def _errors(texts: list, some: np.ndarray) -> pa.Array:
     return pa.array([None if t is None or ok else sketch.EMPTY for t, ok in zip(texts, some)], pa.string())
 
 
+def minhashes(texts: list, config: MinHash, ready: bool = False) -> pa.StructArray:
+    """sig and error of each text."""
+    hashes, some = sketch.minhash(texts, config, ready)
+    return pa.StructArray.from_arrays([signatures(hashes, some), _errors(texts, some)], ["sig", "error"])
+
+
+def simhashes(texts: list, config: SimHash, idf: dict[str, float] | None = None, ready: bool = False) -> pa.StructArray:
+    """sig and error of each text."""
+    bits, some = sketch.simhash(texts, config, idf, ready)
+    return pa.StructArray.from_arrays([pa.array(bits.view(np.int64), mask=~some), _errors(texts, some)], ["sig", "error"])
+
+
 def minhash(text: Column | str, config: MinHash = MinHash(), on_error: str = "column", ready: bool = False) -> Column:
     """struct<sig, error>, or sig alone; ``ready`` texts are canonical already."""
 
     @F.arrow_udf(f"struct<sig: {SIGNATURE}, error: string>")
     def run(values: pa.Array) -> pa.Array:
-        texts = values.to_pylist()
-        hashes, some = sketch.minhash(texts, config, ready)
-        return pa.StructArray.from_arrays([signatures(hashes, some), _errors(texts, some)], ["sig", "error"])
+        return pa.concat_arrays([minhashes(texts, config, ready) for texts in pieces(values)])
 
     return settled(run(col(text).cast("string")), "sig", on_error)
 
@@ -152,9 +162,7 @@ def simhash(text: Column | str, config: SimHash = SimHash(), idf: dict[str, floa
 
     @F.arrow_udf("struct<sig: bigint, error: string>")
     def run(values: pa.Array) -> pa.Array:
-        texts = values.to_pylist()
-        bits, some = sketch.simhash(texts, config, idf, ready)
-        return pa.StructArray.from_arrays([pa.array(bits.view(np.int64), mask=~some), _errors(texts, some)], ["sig", "error"])
+        return pa.concat_arrays([simhashes(texts, config, idf, ready) for texts in pieces(values)])
 
     return settled(run(col(text).cast("string")), "sig", on_error)
 

@@ -6,7 +6,7 @@ can fail per row, ``on_error`` says what becomes of a failure: a column of value
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from loomtext.kernels import canon, chunk, html, markdown, pdf
 from loomtext.kernels.words import tokenizer
 
 _TOKEN_LIST = pa.list_(pa.string())
+#: Bytes of a batch that are Python objects at a time.
+PIECE = 4 << 20
 
 
 def col(c: Column | str) -> Column:
@@ -38,8 +40,15 @@ def settled(result: Column, field: str, on_error: str) -> Column:
     raise ConfigError(f"no such error policy: {on_error}")
 
 
+def pieces(values: pa.Array) -> Iterator[list]:
+    """Runs of rows of about PIECE bytes, at least an empty one: texts, tokens and hashes as Python objects are many times as large as in Arrow, so a batch never is that as a whole."""
+    step = max(1, len(values) * PIECE // max(1, values.nbytes))
+    for first in range(0, max(1, len(values)), step):
+        yield values.slice(first, step).to_pylist()
+
+
 def mapped(values: pa.Array, f: Callable, kind: pa.DataType) -> pa.Array:
-    return pa.array([None if x is None else f(x) for x in values.to_pylist()], kind)
+    return pa.concat_arrays([pa.array([None if x is None else f(x) for x in part], kind) for part in pieces(values)])
 
 
 def canonicalize(text: Column | str, config: Canonical = Canonical(), skeletons: dict[int, str] | None = None) -> Column:

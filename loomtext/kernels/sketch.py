@@ -12,6 +12,7 @@ from loomtext.kernels.hashing import U64, hash128
 from loomtext.kernels.words import shingles, tokenizer
 
 EMPTY = "empty document"
+_GROUP = 1 << 16  # tokens that are held as bytes at a time
 _BLOCK = 1 << 15  # hashes handled at a time, so that the working set stays in the cache
 
 
@@ -43,7 +44,7 @@ def hashed(texts: list[str | None], config: MinHash | SimHash, ready: bool = Fal
         own = [] if not text else tokens_of(text if ready else canonical(text, config.canonical), config.tokens)
         group += own
         sizes.append(len(own))
-        if len(group) >= 1 << 18 or i == len(texts) - 1:
+        if len(group) >= _GROUP or i == len(texts) - 1:
             lo, hi = hash128(group, config.family, config.seed)
             yield first, i + 1, lo, hi, np.r_[0, np.cumsum(sizes)].astype(np.int64)
             group, sizes, first = [], [], i + 1

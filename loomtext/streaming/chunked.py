@@ -9,18 +9,19 @@ a ``seq`` that comes twice with the same bytes counts once, as a redelivery does
 from __future__ import annotations
 
 import codecs
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomtext.config import MinHash, SimHash
 from loomtext.functions import sketches as S
-from loomtext.functions.text import col, mapped
+from loomtext.functions.text import col, mapped, pieces
 from loomtext.kernels import sketch
 
 MAX_BYTES = 16 << 20
@@ -48,32 +49,52 @@ def decoded(data: bytes) -> tuple[str | None, str | None]:
     return (None, TRAILING) if decoder.getstate()[0] else (text, None)
 
 
-def texts(chunks: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """id, text, error of every document: sizes are summed before bytes are, so an overlong document is never gathered."""
+def _gathered(chunks: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """id and parts in order of the documents that fit, and ids of the others: sizes are summed before bytes are, so an overlong document is never gathered."""
     rows = chunks.filter("id IS NOT NULL").select("id", "seq", F.coalesce("chunk", F.lit(b"")).alias("chunk")).dropDuplicates(["id", "seq", "chunk"])
     sizes = rows.groupBy("id").agg(F.sum(F.octet_length("chunk").cast("bigint")).alias("size"))
     fits = rows.join(sizes.filter(F.col("size") <= max_bytes).select("id"), "id", "left_semi")
     whole = fits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk"))).alias("c"))
-    over = sizes.filter(F.col("size") > max_bytes).select("id", F.lit(None).cast("string").alias("text"), F.lit(too_long(max_bytes)).alias("error"))
+    return whole.select("id", F.transform("c", lambda s: s["chunk"]).alias("parts")), sizes.filter(F.col("size") > max_bytes).select("id")
+
+
+def _read(parts: list[list[bytes]]) -> tuple[list[str | None], list[str | None]]:
+    """Texts, and what is wrong with the others."""
+    found = [decoded(b"".join(p)) for p in parts]
+    return [f[0] for f in found], [f[1] for f in found]
 
-    @F.arrow_udf("struct<text: string, error: string>")
-    def read(values: pa.Array) -> pa.Array:
-        found = [decoded(b"".join(parts)) for parts in values.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], ["text", "error"])
 
-    return whole.select("id", read(F.transform("c", lambda s: s["chunk"])).alias("r")).select("id", "r.text", "r.error").unionByName(over)
+def _each(chunks: DataFrame, max_bytes: int, name: str, kind: str, make: Callable[[list], pa.StructArray]) -> DataFrame:
+    """id, ``name``, error of every document; ``make`` gives value and error of whole texts. Bytes are decoded where they are used, in one trip to Python."""
+    whole, over = _gathered(chunks, max_bytes)
+
+    @F.arrow_udf(f"struct<{name}: {kind}, error: string>")
+    def run(values: pa.Array) -> pa.Array:
+        out = []
+        for parts in pieces(values):
+            texts, wrong = _read(parts)
+            made = make(texts)
+            out.append(pa.StructArray.from_arrays([made.field(0), pc.coalesce(pa.array(wrong, pa.string()), made.field(1))], [name, "error"]))
+        return pa.concat_arrays(out)
+
+    lost = over.select("id", F.lit(None).cast(kind).alias(name), F.lit(too_long(max_bytes)).alias("error"))
+    return whole.select("id", run("parts").alias("r")).select("id", f"r.{name}", "r.error").unionByName(lost)
+
+
+def texts(chunks: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """id, text, error of every document."""
+    same = lambda t: pa.StructArray.from_arrays([pa.array(t, pa.string()), pa.nulls(len(t), pa.string())], ["text", "error"])
+    return _each(chunks, max_bytes, "text", "string", same)
 
 
 def minhash_of_chunks(chunks: DataFrame, config: MinHash = MinHash(), max_bytes: int = MAX_BYTES) -> DataFrame:
     """id, sig, error."""
-    t = texts(chunks, max_bytes).select("id", "error", S.minhash("text", config).alias("m"))
-    return t.select("id", "m.sig", F.coalesce("error", "m.error").alias("error"))
+    return _each(chunks, max_bytes, "sig", S.SIGNATURE, lambda t: S.minhashes(t, config))
 
 
 def simhash_of_chunks(chunks: DataFrame, config: SimHash = SimHash(), max_bytes: int = MAX_BYTES) -> DataFrame:
     """id, sig, error."""
-    t = texts(chunks, max_bytes).select("id", "error", S.simhash("text", config).alias("m"))
-    return t.select("id", "m.sig", F.coalesce("error", "m.error").alias("error"))
+    return _each(chunks, max_bytes, "sig", "bigint", lambda t: S.simhashes(t, config))
 
 
 class Assembler(StatefulProcessor):

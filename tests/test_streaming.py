@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomtext.config import MinHash, SimHash
@@ -55,3 +56,22 @@ def test_stream(spark, tmp_path, config):
             assert got[i].sig == int(sketch.simhash([TEXTS[i]], config)[0].view(np.int64)[0])
         else:
             assert got[i].sig == sketch.minhash([TEXTS[i]], config)[0].view(np.int64)[0].tolist()
+
+
+def test_chunks_take_one_trip_to_python(spark):
+    """Decoding and sketching side by side would hold two workers, each with its own copy of the texts."""
+    pieces = c.cut(spark.createDataFrame(list(TEXTS.items()), "id long, text string"), 5)
+    for sketched in (c.minhash_of_chunks(pieces), c.simhash_of_chunks(pieces)):
+        assert sketched._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_batches_in_pieces(spark, monkeypatch):
+    """A batch is never Python objects as a whole, and its pieces give what the whole does."""
+    from loomtext.functions import text
+
+    monkeypatch.setattr(text, "PIECE", 100)
+    values = pa.array([None, "", *(f"text {i}" for i in range(200)), None])
+    parts = list(text.pieces(values))
+    assert max(map(len, parts)) < 20 and [x for p in parts for x in p] == values.to_pylist()
+    assert text.mapped(values, len, pa.int32()).to_pylist() == [None if x is None else len(x) for x in values.to_pylist()]
+    assert list(text.pieces(values[:0])) == [[]] and len(text.mapped(values[:0], len, pa.int32())) == 0
