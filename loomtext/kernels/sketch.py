@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,35 +100,41 @@ def simhash_bits(lo: np.ndarray, off: np.ndarray, weight: np.ndarray | None = No
         rows = np.arange(d, e)[np.diff(off[d : e + 1]) > 0]
         if len(rows):
             a, b = int(off[d]), int(off[e])
-            total = np.zeros((len(rows), 64), np.int64)
+            begin, bits = off[rows] - a, np.empty(b - a, np.int64)
+            every = np.diff(off[d : e + 1])[rows - d] if weight is None else np.add.reduceat(weight[a:b], begin)
+            total = np.empty((len(rows), 64), np.int64)
             for bit in range(64):
-                sign = (lo[a:b] >> U64(bit) & U64(1)).astype(np.int64) * 2 - 1
-                total[:, bit] = np.add.reduceat(sign if weight is None else sign * weight[a:b], off[rows] - a)
+                np.right_shift(lo[a:b], U64(bit), out=bits.view(U64))
+                np.bitwise_and(bits, 1, out=bits)
+                if weight is not None:
+                    np.multiply(bits, weight[a:b], out=bits)
+                total[:, bit] = 2 * np.add.reduceat(bits, begin) - every  # those with it less those without
             out[rows] = np.packbits(total > 0, axis=1, bitorder="little").view("<u8").ravel()
         d = e
     return out
 
 
+def counted(texts: list[str | None], config: SimHash, ready: bool = False) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
+    """For groups of documents: first and end row, each document's different tokens, how often it has them, and its offsets among them."""
+    group, often, sizes, first = [], [], [], 0
+    for i, text in enumerate(texts):
+        own = Counter(() if not text else tokens_of(text if ready else canonical(text, config.canonical), config.tokens))
+        group += own
+        often += own.values()
+        sizes.append(len(own))
+        if len(group) >= _GROUP or i == len(texts) - 1:
+            yield first, i + 1, group, np.array(often, np.int64), np.r_[0, np.cumsum(sizes)].astype(np.int64)
+            group, often, sizes, first = [], [], [], i + 1
+
+
 def simhash(texts: list[str | None], config: SimHash, idf: dict[str, float] | None = None, ready: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints, and whether a document had tokens. ``idf`` holds weights by token, 1 where it has none."""
     out, some = np.zeros(len(texts), U64), np.zeros(len(texts), bool)
-    if config.weighting == "tf":
-        for i, j, lo, _, off in hashed(texts, config, ready):
-            out[i:j], some[i:j] = simhash_bits(lo, off), np.diff(off) > 0
-        return out, some
-    for i, text in enumerate(texts):
-        own = [] if not text else tokens_of(text if ready else canonical(text, config.canonical), config.tokens)
-        if not own:
-            continue
-        some[i] = True
-        counts: dict[bytes, int] = {}
-        for t in own:
-            counts[t] = counts.get(t, 0) + 1
-        lo, _ = hash128(list(counts), config.family, config.seed)
-        weight = None
+    table = idf or {}
+    for i, j, group, tf, off in counted(texts, config, ready):
         if config.weighting == "idf":
-            tf = np.fromiter(counts.values(), np.float32, len(counts))
-            table = idf or {}
-            weight = weights(tf, np.array([table.get(t.decode("utf-8", "surrogatepass"), 1.0) for t in counts], np.float32))
-        out[i] = simhash_bits(lo, np.array([0, len(lo)]), weight)[0]
+            tf = weights(tf, np.array([table.get(t.decode("utf-8", "surrogatepass"), 1.0) for t in group], np.float32))
+        place = {t: n for n, t in enumerate(dict.fromkeys(group))}  # documents have most of their words in common
+        lo = hash128(list(place), config.family, config.seed)[0][np.fromiter(map(place.__getitem__, group), np.int64, len(group))]
+        out[i:j], some[i:j] = simhash_bits(lo, off, None if config.weighting == "uniform" else tf), np.diff(off) > 0
     return out, some

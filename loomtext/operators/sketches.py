@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from loomtext.config import SCHEMA, WORDS, Canonical, SimHash, Tokens
 from loomtext.errors import ConfigError
-from loomtext.functions.sketches import hamming, merge_signatures
-from loomtext.functions.text import tokens
-from loomtext.kernels.hashing import U64, hash128
-from loomtext.kernels.sketch import weights
+from loomtext.functions.sketches import hamming, hash_tokens, merge_signatures
+from loomtext.functions.text import pieces, tokens
+from loomtext.kernels.hashing import hash128
+from loomtext.kernels.sketch import counted, simhash_bits
 
 
 def union_signatures(rows: DataFrame, by: str, sig: str, slots: int) -> DataFrame:
@@ -43,34 +44,72 @@ def last_wins(pairs: DataFrame, order: str) -> DataFrame:
     return pairs.groupBy("token").agg(F.max_by("idf", order).alias("idf"))
 
 
-def _bit_sums(lo: Column, weight: Column) -> list[Column]:
-    one = lambda b: F.when(F.shiftrightunsigned(lo, b).bitwiseAND(F.lit(1)) == 1, weight).otherwise(-weight)
-    return [F.sum(one(b)).alias(f"b{b}") for b in range(64)]
+def _term_counts(text: str, config: SimHash) -> Column:
+    """lo, hi and tf of each different token of a text."""
+
+    def made(texts: list) -> list[pa.Array]:
+        out = []
+        for _, _, group, tf, off in counted(texts, config):
+            halves = [pa.array(h.view(np.int64)) for h in hash128(group, config.family, config.seed)]
+            out.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.StructArray.from_arrays([*halves, pa.array(tf)], ["lo", "hi", "tf"])))
+        return out
+
+    @F.arrow_udf("array<struct<lo: bigint, hi: bigint, tf: bigint>>")
+    def run(values: pa.Array) -> pa.Array:
+        found = [a for texts in pieces(values) for a in made(texts)]
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("tf", pa.int64())]))
+        return pa.concat_arrays(found) if found else pa.array([], kind)
+
+    return run(F.col(text).cast("string"))
+
+
+def _weights(tf: Column, idf: Column) -> Column:
+    """As the kernel's ``weights``."""
+    w = tf.cast("float") * idf
+    bounded = F.greatest(F.lit(-1e15), F.least(F.lit(1e15), w.cast("double"))).cast("bigint")
+    return F.when(F.isnan(w) | (F.abs(w) == float("inf")), F.lit(1).cast("bigint")).otherwise(bounded)
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and simhash of rows (id, lo, w) that are sorted by id."""
+    held: list[pa.RecordBatch] = []
+
+    def made(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
+        names = rows["id"].combine_chunks()
+        places = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        begin = np.r_[0, np.flatnonzero(np.diff(places)) + 1]
+        off = np.r_[begin, rows.num_rows] if last else begin  # the last document may go on
+        done = pa.array(off[:-1])
+        bits = simhash_bits(rows["lo"].to_numpy()[: off[-1]].view(np.uint64), off, rows["w"].to_numpy()[: off[-1]])
+        return pa.RecordBatch.from_arrays([names.take(done), pa.array(bits.view(np.int64))], names=["id", "simhash"]), rows.slice(int(off[-1])).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= 1 << 16 and len(held) > 1:
+            out, held = made(pa.Table.from_batches(held), False)
+            yield out
+    if sum(b.num_rows for b in held):
+        yield made(pa.Table.from_batches(held), True)[0]
 
 
 def simhash_by_idf(docs: DataFrame, idf: DataFrame, config: SimHash = SimHash(weighting="idf")) -> DataFrame:
-    """id, simhash by a table of weights of any size: term counts joined with it, then 64 sums for each document."""
+    """id, simhash by a table of weights of any size: term counts joined with it, then summed for each document.
+
+    Tokens are told apart by their 128-bit hashes. A document's terms are shuffled twice as these and a number, to their weights and back; sums are taken where all
+    terms of a document are, as partial ones of 64 numbers would be many times as large. An id that comes twice counts as one document.
+    """
     if config.weighting != "idf":
         raise ConfigError("this form is for idf weights")
-    family, seed = config.family, config.seed
-
-    @F.arrow_udf("bigint")
-    def low(values: pa.Array) -> pa.Array:
-        return pa.array(hash128([t.encode("utf-8", "surrogatepass") for t in values.to_pylist()], family, seed)[0].view(np.int64))
-
-    @F.arrow_udf("bigint")
-    def weigh(tf: pa.Array, w: pa.Array) -> pa.Array:
-        return pa.array(weights(tf.to_numpy(zero_copy_only=False), w.to_numpy(zero_copy_only=False)))
-
-    terms = docs.select(F.col("id"), F.explode(tokens("text", config.tokens, config.canonical)).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    known = idf.select("token", F.col("idf").cast("float").alias("__idf"))
-    rows = terms.join(known, "token", "left").select("id", low("token").alias("lo"), weigh(F.col("tf"), F.coalesce("__idf", F.lit(1.0).cast("float"))).alias("w"))
-    sums = rows.groupBy("id").agg(*_bit_sums(F.col("lo"), F.col("w")))
-    bits = [F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(64)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return sums.select("id", out.alias("simhash"))
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, 4 * docs.rdd.getNumPartitions(), 4 * idf.rdd.getNumPartitions())
+    terms = docs.select(F.col("id"), F.explode(_term_counts("text", config)).alias("t")).select("id", "t.lo", "t.hi", "t.tf").repartition(parts, "lo", "hi")
+    if not docs.groupBy("id").count().filter("count > 1").isEmpty():
+        terms = terms.groupBy("id", "lo", "hi").agg(F.sum("tf").alias("tf"))
+    known = idf.filter("token IS NOT NULL").select(hash_tokens(F.array("token"), config.family, config.seed)[0].alias("h"), F.col("idf").cast("float").alias("__idf"))
+    known = known.select(F.col("h.low").alias("lo"), F.col("h.high").alias("hi"), "__idf").repartition(parts, "lo", "hi").hint("shuffle_hash")
+    rows = terms.join(known, ["lo", "hi"], "left").select("id", "lo", _weights(F.col("tf"), F.coalesce("__idf", F.lit(1.0).cast("float"))).alias("w"))
+    kind = f"id {docs.schema['id'].dataType.simpleString()}, simhash bigint"
+    return rows.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_prints, kind)
 
 
 def hamming_pairs(prints: DataFrame, most: int) -> DataFrame:

@@ -219,6 +219,22 @@ def test_weighted_simhash_and_unions(spark, fox):
     assert {r.token: r.idf for r in K.last_wins(spark.createDataFrame([("a", 1.0, 0), ("a", 2.0, 1), ("b", 3.0, 0)], "token string, idf double, at int"), "at").collect()} == {"a": 2.0, "b": 3.0}
 
 
+def test_weighted_simhash_of_many(spark, fox):
+    """Ids that repeat or are null, documents longer than a batch, texts without tokens; sums are not shuffled in parts."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{n}" for n in rng.zipf(1.3, size) % 90_000) for size in (1, 50, 70_000, 3000, *[300] * 300)]
+    idf = K.idf_table(fox).unionByName(spark.createDataFrame([("w1", 0.2), ("w2", -3.5), ("w3", float("inf"))], "token string, idf double"))
+    table = {r.token: np.float32(r.idf) for r in idf.collect()}
+    rows = [*enumerate(texts), (5000, None), (5001, "?!")]
+    found = K.simhash_by_idf(spark.createDataFrame(rows, "id long, text string"), idf)
+    assert "partial_sum" not in found._jdf.queryExecution().toString()
+    bits = sketch.simhash(texts, SimHash(weighting="idf"), table)[0].view(np.int64).tolist()
+    assert {r.id: r.simhash for r in found.collect()} == dict(enumerate(bits))
+    again = spark.createDataFrame([("a", texts[1]), ("a", texts[4]), (None, texts[5])], "id string, text string")
+    want = sketch.simhash([f"{texts[1]} {texts[4]}", texts[5]], SimHash(weighting="idf"), table)[0].view(np.int64).tolist()
+    assert {r.id: r.simhash for r in K.simhash_by_idf(again, idf).collect()} == dict(zip(("a", None), want))
+
+
 def test_corpus_operations(spark):
     docs = spark.createDataFrame([(1, "Same"), (2, "same"), (3, "other"), (None, "same"), (4, None), (5, "ＳＡＭＥ")], "id long, text string")
     g = corpus.exact_groups(docs)
