@@ -112,24 +112,93 @@ def simhash_by_idf(docs: DataFrame, idf: DataFrame, config: SimHash = SimHash(we
     return rows.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_prints, kind)
 
 
+def _choices(most: int, extra: int) -> list[int]:
+    """Masks of all choices of ``extra`` of most + extra blocks of 64 bits."""
+    edges = [round(i * 64 / (most + extra)) for i in range(most + extra + 1)]
+    return [sum((1 << hi) - (1 << lo) for lo, hi in chosen) for chosen in itertools.combinations(list(zip(edges, edges[1:])), extra)]
+
+
+def _bucket_pairs(v: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs within the buckets [begin, end) that are at most ``most`` bits apart."""
+    large = end - begin > 512
+    for a, b in zip(begin[large].tolist(), end[large].tolist()):
+        for i in range(a, b - 1):
+            j = np.flatnonzero(np.bitwise_count(v[i + 1 : b] ^ v[i]) <= most)
+            if len(j):
+                yield np.full(len(j), i), j + i + 1
+    sizes = (end - begin)[~large]
+    live = np.repeat(begin[~large] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+    last = np.repeat(end[~large], sizes)
+    for step in itertools.count(1):
+        more = live + step < last
+        live, last = live[more], last[more]
+        if not len(live):
+            return
+        close = live[np.bitwise_count(v[live] ^ v[live + step]) <= most]
+        yield close, close + step
+
+
+def _close(masks: list[int], most: int):  # noqa: ANN202
+    """Of rows (block, key, simhash) sorted by the former two: x, y of the pairs that meet in a bucket and are close, in the first block alone where they meet."""
+    every = np.array(masks, np.uint64)
+
+    def found(rows: pa.Table, last: bool) -> tuple[Iterator[pa.RecordBatch], list[pa.RecordBatch]]:
+        block, key, v = (rows[c].to_numpy() for c in ("block", "key", "simhash"))
+        edge = np.r_[0, np.flatnonzero((np.diff(block) != 0) | (key[1:] != key[:-1])) + 1, len(v)]
+        edge = edge if last else edge[:-1]  # the last bucket may go on
+        v = v.view(np.uint64)
+        many = np.diff(edge) > 1
+
+        def batches() -> Iterator[pa.RecordBatch]:
+            xs, ys, held = [], [], 0
+            for i, j in itertools.chain(_bucket_pairs(v, edge[:-1][many], edge[1:][many], most), [(None, None)]):
+                if i is not None:
+                    first = np.argmax((v[i] ^ v[j])[:, None] & every == 0, axis=1) == block[i]
+                    xs.append(v[i[first]].view(np.int64))
+                    ys.append(v[j[first]].view(np.int64))
+                    held += len(xs[-1])
+                if xs and (i is None or held >= 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["x", "y"])
+                    xs, ys, held = [], [], 0
+
+        return batches(), rows.slice(int(edge[-1])).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, enough = [], 0, 1 << 16
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= enough:
+                out, held = found(pa.Table.from_batches(held), False)
+                yield from out
+                size = sum(b.num_rows for b in held)
+                enough = max(1 << 16, 2 * size)
+        if size:
+            yield from found(pa.Table.from_batches(held), True)[0]
+
+    return run
+
+
 def hamming_pairs(prints: DataFrame, most: int) -> DataFrame:
     """a < b and distance of all fingerprints (id, simhash) at most ``most`` bits apart; exact.
 
-    Of most + e blocks of their bits two such fingerprints agree on e, so the pairs are found by equi-joins on all choices of e blocks;
-    e is the least (of 3 at most) with as many bits in a choice as it takes to number the fingerprints, so few unlike ones meet. Equal fingerprints are folded into one before. Null ids and fingerprints match nothing; ids must be unique.
+    Of most + e blocks of their bits two such fingerprints agree on e, so they are brought together by all choices of e blocks and compared there; e is the least
+    (of 3 at most) with 6 more bits in a choice than it takes to number the fingerprints: those of texts in one language have many bits in common, so a choice tells
+    fewer apart than its bits say. A pair is handed on by the first choice it meets in. Equal fingerprints are folded into one before. Null ids and fingerprints match nothing; ids must be unique.
     """
     if not 0 <= most < 64:
         raise ConfigError("the distance lies in [0, 64)")
+    spark = prints.sparkSession
     live = prints.filter("id IS NOT NULL AND simhash IS NOT NULL").select("id", "simhash")
     values = live.select("simhash").distinct()
-    bits = int(values.count()).bit_length()
-    extra = next((e for e in (1, 2) if 64 * e / (most + e) >= bits or most + e >= 8), 3 if most < 5 else 1)
-    edges = [round(i * 64 / (most + extra)) for i in range(most + extra + 1)]
-    masks = [sum((1 << hi) - (1 << lo) for lo, hi in chosen) for chosen in itertools.combinations(list(zip(edges, edges[1:])), extra)]
+    n = values.count()
+    extra = next((e for e in (1, 2) if 64 * e / (most + e) >= n.bit_length() + 6 or most + e >= 8), 3 if most < 5 else 1)
+    masks = _choices(most, extra)
     cut = [F.col("simhash").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")) for m in masks]
-    blocks = values.select("simhash", F.posexplode(F.array(*cut)).alias("block", "key"))
-    pairs = blocks.withColumnRenamed("simhash", "x").join(blocks.withColumnRenamed("simhash", "y"), ["block", "key"]).filter("x <= y")
-    close = pairs.filter(hamming("x", "y") <= most).select("x", "y").distinct()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, n * len(masks) // 500_000)
+    blocks = values.select("simhash", F.posexplode(F.array(*cut)).alias("block", "key")).select("block", "key", "simhash")
+    close = blocks.repartition(parts, "block", "key").sortWithinPartitions("block", "key").mapInArrow(_close(masks, most), "x bigint, y bigint")
+    close = close.unionByName(values.select(F.col("simhash").alias("x"), F.col("simhash").alias("y")))
     a = live.select(F.col("id").alias("i"), F.col("simhash").alias("x"))
     b = live.select(F.col("id").alias("j"), F.col("simhash").alias("y"))
     both = close.join(a, "x").join(b, "y").filter("i != j AND (x != y OR i < j)")

@@ -208,6 +208,20 @@ def test_hamming_pairs(spark):
     assert got == want and len(want) > 150
 
 
+def test_hamming_pairs_of_alike(spark):
+    """Large and small buckets, over batches; each pair once without a shuffle of pairs to tell which came twice."""
+    rng = np.random.default_rng(2)
+    low = rng.permutation(1 << 11)[:1500]
+    values = [int(x) for x in low] + [int(x) << 40 | 7 for x in low[:200]] + [-1, 0, 0]
+    rows = list(enumerate(values))
+    found = K.hamming_pairs(spark.createDataFrame(rows, "id long, simhash long"), 3)
+    got = sorted((r.a, r.b) for r in found.collect())
+    v = np.array(values, np.int64)
+    want = [(i, int(j)) for i in range(len(v)) for j in i + 1 + np.flatnonzero(np.bitwise_count((v[i + 1 :] ^ v[i]).view(np.uint64)) <= 3)]
+    assert got == want and len(want) > 10_000
+    assert "Aggregate [x" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_weighted_simhash_and_unions(spark, fox):
     idf = K.idf_table(fox)
     table = {r.token: r.idf for r in idf.collect()}
